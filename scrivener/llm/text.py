@@ -92,7 +92,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         row = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, separators: np.ndarray = _SPACE) -> Words:
     n = len(offsets) - 1
     spaced = np.full(len(data) + n, 0x20, np.uint8)
     place = np.ones(len(spaced), bool)
@@ -100,7 +100,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     place[span[1:] - 1] = False
     spaced[place] = _LOWER[data] if lower else data
     inside = np.zeros(len(spaced) + 1, np.int8)
-    inside[1:] = ~_SPACE[spaced]
+    inside[1:] = ~separators[spaced]
     step = np.diff(inside)
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     return Words(spaced, start, end, np.searchsorted(start, span), span)
