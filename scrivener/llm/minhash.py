@@ -7,8 +7,9 @@ of a union are the maxima of the registers. Bands of registers propose pairs, th
 likelihood weighs them, and the full sets decide.
 
 Groups of equal sets enter as one row. In a band's bucket every member is first compared with one hub, the
-member that meets most others; afterwards only members whose components still differ are compared,
-so a large group of near copies costs one comparison a member and band, not one a pair.
+member that meets most others; afterwards only members whose components still differ, and which share enough
+shingles with others at all, are compared. So a large group of near copies costs about one comparison a member
+and band, not one a pair.
 """
 
 from __future__ import annotations
@@ -191,11 +192,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5)
     facts = reps.select("rep", "registers", "n_shingles").distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return cut(text.join(wanted, "rep", "left_semi").mapInArrow(_sets(shingle_words), "rep long, shingles array<long>"))
+
+    def confirmed(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         side = lambda x: facts.select(F.col("rep").alias(x), F.col("registers").alias(f"r_{x}"), F.col("n_shingles").alias(f"n_{x}"))
         weighed = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(_weigh(percent / 100, 18.0), "a long, b long").distinct())
-        wanted = weighed.select(F.col("a").alias("rep")).union(weighed.select("b")).distinct()
-        sets = cut(text.join(wanted, "rep", "left_semi").mapInArrow(_sets(shingle_words), "rep long, shingles array<long>"))
+        if sets is None:
+            sets = sets_of(weighed.select(F.col("a").alias("rep")).union(weighed.select("b")).distinct())
         both = weighed.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b")), "b")
         common = F.size(F.array_intersect("s_a", "s_b"))
         return cut(both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("s_a") + F.size("s_b") - F.col("common"))).select("a", "b").distinct())
@@ -204,13 +208,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5)
     same = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").join(member, "doc_id")
     links = confirmed(first).union(same.select("a", F.col("rep").alias("b")))  # a repeated doc_id is one node
     found = components(links)
-    # What a bucket still holds of several components is compared in full, pair by pair.
+    # What a bucket still holds of several components is compared in full. A set links with another only if they share
+    # percent / (100 + percent) of both sizes' sum, and it shares no shingle that no other set of these buckets has: so
+    # edits of its own exclude a far copy from all its pairs at once.
+    def mixed(rows: DataFrame) -> DataFrame:
+        keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")).where("low < high").select("key", "least")
+        return rows.drop("least").join(keys, "key")
+
+    sizes = facts.groupBy("rep").agg(F.max("n_shingles").alias("n"))
     state = inside.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    state = cut(state.join(mixed, "key"))
-    rest = state.select("key", F.col("rep").alias("a"), F.col("component").alias("c")).join(state.select("key", F.col("rep").alias("b"), F.col("component").alias("d")), "key")
-    rest = rest.where("a < b and c <> d").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = confirmed(rest)
+    state = cut(mixed(state.join(sizes, "rep")))
+    sets = sets_of(state.select("rep").distinct())
+    alone = sets.select("rep", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    alone = alone.join(sets.groupBy("rep").count().where("count > 1"), "rep", "left_anti")  # texts that share a doc_id: no bound
+    part = state.join(alone, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    part = part.where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("least")))
+    part = cut(mixed(part))
+    side = lambda x: part.select("key", F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "shared")))
+    can = (100 + percent) * F.least("shared_a", "shared_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    x, y = side("a"), side("b")
+    rest = x.join(y, (x["key"] == y["key"]) & (x["a"] < y["b"]) & (x["component_a"] != y["component_b"]) & can).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    more = confirmed(rest, sets)
     if not more.isEmpty():
         found = components(links.union(more))
     final = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("label"))
