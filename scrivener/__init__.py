@@ -1,0 +1 @@
+"""Transcript quality analytics on Spark."""
