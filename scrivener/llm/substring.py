@@ -25,6 +25,7 @@ from .store import cut
 from .text import U64, Words, blocks, mix, words
 
 WIDTH, ANCHOR = 13, 5
+HASH_BYTES = 6  #: of a word's hash that a shard gets; two words agree in them once in 2^47
 _STEP = U64(0x9FB21C651E98DF25)
 _POWER = np.multiply.accumulate(np.full(ANCHOR, _STEP, U64))
 
@@ -85,9 +86,11 @@ class FMIndex:
             position = np.where(symbol >> level & 1, self.zeros[i] + one, position - one)
         return position - self.start[symbol]
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, patterns: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(low, high, length) for rows of symbols, backward from the last: the interval of suffixes that start with the
-        longest matching end of the row, and that end's length. A row stops where its interval would be empty."""
+        longest matching end of the row, and that end's length. A row stops where its interval would be empty. own: the rows
+        are known to lie in the index, so a row also stops, as found, where one suffix is left: its own (low may then be that of
+        a later word of the row)."""
         ids = np.searchsorted(self.names, patterns)
         ids[ids == len(self.names)] = 0
         known = (self.names[ids] == patterns) & (ids > 0)
@@ -105,6 +108,10 @@ class FMIndex:
             good = a < b
             live = live[good]
             low[live], high[live], length[live] = a[good], b[good], length[live] + 1
+            if own:
+                alone = high[live] - low[live] == 1
+                length[live[alone]] = width
+                live = live[~alone]
         return low, high, length
 
 
@@ -260,7 +267,8 @@ def _distinct(width: int, shards: int):
                 for j in range(ANCHOR):
                     run_ += rows[own, j : j + width - ANCHOR + 1] * _POWER[j]
                 shard = (mix(run_).min(axis=1) >> U64(24)) % U64(shards)
-                text = [x[:m].tobytes() for x, m in zip(rows[own], length, strict=True)]
+                narrow = np.ascontiguousarray(rows[own]).view(np.uint8).reshape(len(own), -1, 8)[:, :, :HASH_BYTES].reshape(len(own), -1)
+                text = [x[: m * HASH_BYTES].tobytes() for x, m in zip(narrow, length, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), _keys(keys[own]), pa.array(doc[own], pa.int64()), pa.array(text, pa.binary())], names=["shard", "key", "first", "words"])
 
     return run
@@ -271,8 +279,9 @@ def _index(width: int):
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.groupby("key", sort=True).agg({"first": "min", "words": "first"})
-        length = np.array([len(x) // 8 for x in frame["words"]])
-        flat = np.frombuffer(b"".join(x + bytes(8) for x in frame["words"]), U64)
+        length = np.array([len(x) // HASH_BYTES for x in frame["words"]])
+        narrow = np.frombuffer(b"".join(x + bytes(HASH_BYTES) for x in frame["words"]), np.uint8).reshape(-1, HASH_BYTES)
+        flat = np.pad(narrow, ((0, 0), (0, 8 - HASH_BYTES))).view(U64).ravel()
         index = FMIndex(flat)
         begin = np.concatenate([[0], np.cumsum(length + 1)])[:-1]
         count = length - width + 1
@@ -283,8 +292,13 @@ def _index(width: int):
         sequence = np.searchsorted(begin, index.suffix, "right") - 1
         doc = np.append(frame["first"].to_numpy(np.int64)[sequence], np.iinfo(np.int64).max)
         for a in range(0, len(at), 1 << 18):
-            low, high, _ = index.search(flat[at[a : a + (1 << 18), None] + place])
-            least[a : a + (1 << 18)] = np.minimum.reduceat(doc, np.stack([low, high], 1).ravel())[::2]
+            low, high, _ = index.search(flat[at[a : a + (1 << 18), None] + place], own=True)
+            several = high - low > 1  # intervals of windows are equal or apart
+            part = doc[low]
+            if several.any():
+                begin, which, back = np.unique(low[several], return_index=True, return_inverse=True)
+                part[several] = np.minimum.reduceat(doc, np.stack([begin, high[several][which]], 1).ravel())[::2][back]
+            least[a : a + (1 << 18)] = part
         parts = np.split(least, np.cumsum(count)[:-1])
         return pd.DataFrame({"key": list(frame.index), "firsts": [x.tobytes() for x in parts]})
 
