@@ -192,14 +192,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5)
     facts = reps.select("rep", "registers", "n_shingles").distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        return cut(text.join(wanted, "rep", "left_semi").mapInArrow(_sets(shingle_words), "rep long, shingles array<long>"))
+    # The full sets of all that share a bucket: the texts are dealt once, for both rounds.
+    sets = cut(text.join(inside.select("rep").distinct(), "rep", "left_semi").mapInArrow(_sets(shingle_words), "rep long, shingles array<long>"))
 
-    def confirmed(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda x: facts.select(F.col("rep").alias(x), F.col("registers").alias(f"r_{x}"), F.col("n_shingles").alias(f"n_{x}"))
         weighed = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(_weigh(percent / 100, 18.0), "a long, b long").distinct())
-        if sets is None:
-            sets = sets_of(weighed.select(F.col("a").alias("rep")).union(weighed.select("b")).distinct())
         both = weighed.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b")), "b")
         common = F.size(F.array_intersect("s_a", "s_b"))
         return cut(both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("s_a") + F.size("s_b") - F.col("common"))).select("a", "b").distinct())
@@ -218,9 +216,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5)
     sizes = facts.groupBy("rep").agg(F.max("n_shingles").alias("n"))
     state = inside.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     state = cut(mixed(state.join(sizes, "rep")))
-    sets = sets_of(state.select("rep").distinct())
-    alone = sets.select("rep", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    alone = alone.join(sets.groupBy("rep").count().where("count > 1"), "rep", "left_anti")  # texts that share a doc_id: no bound
+    left = sets.join(state.select("rep").distinct(), "rep", "left_semi")
+    alone = left.select("rep", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    alone = alone.join(left.groupBy("rep").count().where("count > 1"), "rep", "left_anti")  # texts that share a doc_id: no bound
     part = state.join(alone, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     part = part.where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("least")))
     part = cut(mixed(part))
@@ -228,7 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5)
     can = (100 + percent) * F.least("shared_a", "shared_b") >= percent * (F.col("n_a") + F.col("n_b"))
     x, y = side("a"), side("b")
     rest = x.join(y, (x["key"] == y["key"]) & (x["a"] < y["b"]) & (x["component_a"] != y["component_b"]) & can).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = confirmed(rest, sets)
+    more = confirmed(rest)
     if not more.isEmpty():
         found = components(links.union(more))
     final = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("label"))
