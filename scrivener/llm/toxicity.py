@@ -20,7 +20,9 @@ from .text import _LOWER, blocks, words
 FEATURE_BITS = 18
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000  #: at most so many labelled documents of each kind are learnt from
 THRESHOLD = 0.7
-STEPS, RATE, L1, L2 = 250, 0.15, 0.5, 1e-7  #: L1 in labelled documents
+STEPS, RATE, L2 = 250, 0.15, 1e-7
+L1 = 0.25  #: in labelled documents; choose_penalty() on the training rows of sf0.1 finds it best of PENALTIES
+PENALTIES, FOLDS = (0.125, 0.25, 0.5, 1.0, 2.0, 4.0), 3
 LEAST_TOXIC_DOCS = 3  #: a word met in fewer toxic documents gets no weight
 
 _PART = np.zeros(256, bool)  # what separates words: ASCII but letters and digits
@@ -57,7 +59,7 @@ class Sentences:
         return 1 / (1 + np.exp(-z)), -np.expm1(-none)
 
 
-def fit(sentence: np.ndarray, feature: np.ndarray, doc: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
+def fit(sentence: np.ndarray, feature: np.ndarray, doc: np.ndarray, label: np.ndarray, l1: float = L1) -> tuple[np.ndarray, float]:
     """Weights and bias that make the labels likely. sentence, feature: a row for each word of a sentence; doc: of
     each sentence; label: of each document."""
     size, y = 1 << FEATURE_BITS, label.astype(float)
@@ -73,7 +75,7 @@ def fit(sentence: np.ndarray, feature: np.ndarray, doc: np.ndarray, label: np.nd
         none = np.bincount(doc, np.logaddexp(0, z), len(y))
         p = np.maximum(-np.expm1(-none), 1e-12)
         slope = (1 / (1 + np.exp(-z))) * (1 - y / p)[doc] / max(1, len(y))
-        grad = np.append(np.bincount(column, slope[row], len(names)) + L1 / max(1, len(y)) + L2 * w, slope.sum())
+        grad = np.append(np.bincount(column, slope[row], len(names)) + l1 / max(1, len(y)) + L2 * w, slope.sum())
         moments[0] = 0.9 * moments[0] + 0.1 * grad
         moments[1] = 0.99 * moments[1] + 0.01 * grad**2
         move = RATE * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
@@ -83,7 +85,8 @@ def fit(sentence: np.ndarray, feature: np.ndarray, doc: np.ndarray, label: np.nd
     return weights, bias
 
 
-def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bags(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """The arguments of fit() for batches of text and label; empty without rows."""
     sentence, feature, doc, label, sentences, docs = [], [], [], [], 0, 0
     for batch in batches:
         y = batch.column(1).to_numpy(zero_copy_only=False)
@@ -95,21 +98,53 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc.append(s.doc + docs)
             label.append(y[lo:hi])
             sentences, docs = sentences + len(s.doc), docs + hi - lo
-    if docs:
-        weights, bias = fit(*(np.concatenate(x) for x in (sentence, feature, doc, label)))
+    return [np.concatenate(x) for x in (sentence, feature, doc, label)] if docs else []
+
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if bags := _bags(batches):
+        weights, bias = fit(*bags)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
 
+def _part_of(bags: list[np.ndarray], docs: np.ndarray) -> list[np.ndarray]:
+    """The bags of the documents marked in docs, numbered anew."""
+    sentence, feature, doc, label = bags
+    some = docs[doc]
+    words_ = some[sentence]
+    return [(np.cumsum(some) - 1)[sentence[words_]], feature[words_], (np.cumsum(docs) - 1)[doc[some]], label[docs]]
+
+
+def _compare(penalties: tuple[float, ...]):
+    """The mean log loss of each penalty over folds; equal texts share a fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if bags := _bags(iter(parts)):
+            fold = np.concatenate([b.column(2).to_numpy() for b in parts])
+            for l1 in penalties:
+                total = 0.0
+                for k in range(FOLDS):
+                    weights, bias = fit(*_part_of(bags, fold != k), l1=l1)
+                    sentence, feature, doc, label = _part_of(bags, fold == k)
+                    z = bias + np.bincount(sentence, weights[feature], len(doc))
+                    none = np.maximum(np.bincount(doc, np.logaddexp(0, z), len(label)), 1e-12)
+                    total += float(np.where(label > 0, -np.log(-np.expm1(-none)), none).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([l1]), pa.array([total / len(fold)])], names=["l1", "loss"])
+
+    return run
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> tuple[np.ndarray, float]:
-    """(weights, bias) learnt from labelled rows that are not held out.
+def _sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """text, toxic of labelled rows that are not held out, in one part.
 
     Of either kind those with the smallest hashes of doc_id enter, `toxic` and `clean` at most; the bound keeps the
     one task that fits small, at any size of the corpus. Null labels and ids, labels other than 0 and 1, ids whose
-    labels disagree and labels without a document are left out. With no label nothing has a weight.
+    labels disagree and labels without a document are left out.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").select("doc_id", "toxic")
@@ -117,13 +152,24 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     some = known.where("toxic = 1").orderBy(first).limit(toxic).union(known.where("toxic = 0").orderBy(first).limit(clean))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = rows.join(F.broadcast(some), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))  # at most toxic + clean rows
-    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("text"), "text")
-    model = ordered.mapInArrow(_learn, "weights binary, bias double").first()
+    return sample.repartition(1).sortWithinPartitions(F.xxhash64("text"), "text")
+
+
+def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> tuple[np.ndarray, float]:
+    """(weights, bias) learnt from the rows of _sample(). With no label nothing has a weight."""
+    model = _sample(docs, labels, toxic, clean).mapInArrow(_learn, "weights binary, bias double").first()
     if model is None:
         return np.zeros(1 << FEATURE_BITS, np.float32), -20.0
     return np.frombuffer(model["weights"], np.float32), model["bias"]
 
 
+def choose_penalty(docs: DataFrame, labels: DataFrame, penalties: tuple[float, ...] = PENALTIES, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> DataFrame:
+    """l1, loss: each penalty's mean log loss over folds of the rows that train() may learn from; held-out rows have no
+    part in it. Without labels no rows."""
+    rows = _sample(docs, labels, toxic, clean).withColumn("fold", F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("fold")), F.lit(FOLDS)).cast("int"))
+    return rows.mapInArrow(_compare(penalties), "l1 double, loss double")
+
+
 def _score(weights: bytes, bias: float, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(weights, np.float32)

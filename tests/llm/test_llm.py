@@ -335,3 +335,19 @@ def test_pipeline(spark, tmp_path):
     whole = {x.doc_id: x.text or "" for x in seen[2]}
     assert all(x.decoded_sha256 == hashlib.sha256(whole[x.doc_id].encode()).hexdigest() for x in seen[4])
     assert sorted((x.doc_id, x.ids_sha256) for x in p.run(spark, str(tmp_path)).collect()) == sorted((x.doc_id, x.ids_sha256) for x in seen[4])
+
+
+def test_penalty_is_chosen_without_held_out_labels(spark, docs):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(240):
+        bad = i % 4 == 0
+        rows.append((i, prose(25, rng) + (" grobword. " if bad else ". ") + prose(10, rng)))
+        labels.append((i, int(bad)))
+    schema = "doc_id long, toxic int"
+    other = [(i, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, y in labels]
+    pick = lambda y: toxicity.choose_penalty(docs(rows), spark.createDataFrame(y, schema), (0.5, 4.0)).collect()
+    got = pick(labels)
+    assert [x.l1 for x in got] == [0.5, 4.0] and all(np.isfinite(x.loss) and x.loss >= 0 for x in got)
+    assert got == pick(other)
+    assert pick([]) == []
