@@ -9,7 +9,9 @@ likelihood weighs them, and the full sets decide.
 Groups of equal sets enter as one row. In a band's bucket every member is first compared with one hub, the
 member that meets most others; afterwards only members whose components still differ, and which share enough
 shingles with others at all, are compared. So a large group of near copies costs about one comparison a member
-and band, not one a pair.
+and band, not one a pair. A group whose members lie just below the threshold has no such shortcut: its members are
+compared within pairs of blocks of bounded size, registers first and then full sets, and a pair of blocks yields no more
+links than join its components. That work grows with the square of such a group; the rows made and a task's memory do not.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from .store import components, cut
 from .text import U64, blocks, distinct, mix, shingles, words
 
 M, BANDS, ROWS = 163, 40, 4  #: M is prime: every step deals an element's points to all registers
+BLOCK, BLOCK_SHINGLES = 512, 1 << 17  #: about so many members and shingles a block
 BASE, RATE, TOP = 1.001, 20.0, 65534
 
 
@@ -161,6 +164,78 @@ def _weigh(threshold: float, slack: float):
     return run
 
 
+def _sketched_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep, registers, shingles, from rep, shingles."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            column = part.column(1)
+            size = np.diff(column.offsets.to_numpy())
+            h = column.flatten().to_numpy(zero_copy_only=False).view(U64)
+            regs = registers(minima(np.repeat(np.arange(len(size)), size), h, len(size)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in regs], pa.binary()), column], names=["rep", "registers", "shingles"])
+
+
+def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float, slack: float) -> np.ndarray:
+    """Which pairs remain: as in _weigh(), but one trial likelihood below the threshold stands for the greatest, so a few
+    more remain; rows of registers and set sizes."""
+    above, below = (a > b).sum(axis=1), (a < b).sum(axis=1)
+    u = n_a / (n_a + n_b)
+    high = np.minimum(u / (1 - u), (1 - u) / u)
+    trial = np.minimum((M - above - below) / M, high)
+    far = likelihood(above, below, u, trial) - likelihood(above, below, u, np.full(len(u), threshold)) > slack
+    return (high >= threshold - 1e-9) & ~((trial < threshold) & far)
+
+
+def block_links(side, component, own, regs, shingles: list[np.ndarray], cross: bool, percent: int, slack: float) -> list[tuple[int, int]]:
+    """Links (rows of the arguments) that join the components of the members of one block, or of two (cross: sides 0 and 1),
+    as all links of 100 * intersection >= percent * union between them would."""
+    size = np.array([len(x) for x in shingles])
+    start = np.concatenate([[0], np.cumsum(size)])
+    vocabulary, code = np.unique(np.concatenate(shingles), return_inverse=True)
+    mark, component, shared, out = np.zeros(len(vocabulary), bool), component.copy(), size - own, []
+    for i in np.flatnonzero(side == 0) if cross else range(len(size) - 1):
+        can = (component != component[i]) & ((100 + percent) * np.minimum(shared, shared[i]) >= percent * (size + size[i]))
+        j = np.flatnonzero(can & (side == 1) if cross else can & (np.arange(len(size)) > i))
+        if len(j):
+            j = j[plausible(np.broadcast_to(regs[i], (len(j), M)), regs[j], np.full(len(j), float(size[i])), size[j].astype(float), percent / 100, slack)]
+        if len(j) == 0:
+            continue
+        mark[code[start[i] : start[i + 1]]] = True
+        first = np.concatenate([[0], np.cumsum(size[j])[:-1]])
+        place = np.repeat(start[j] - first, size[j]) + np.arange(size[j].sum())
+        common = np.add.reduceat(mark[code[place]].astype(np.int64), first)
+        mark[code[start[i] : start[i + 1]]] = False
+        j = j[100 * common >= percent * (size[i] + size[j] - common)]
+        joined, one = np.unique(component[j], return_index=True)
+        out += [(int(i), int(x)) for x in j[one]]
+        component[np.isin(component, joined)] = component[i]
+    return out
+
+
+def _within_blocks(percent: int, slack: float):
+    """(a, b): the links of block_links() for each row lo, hi, members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[np.ndarray] = []
+            for row in range(batch.num_rows):
+                lo, hi, members = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2).slice(row, 1).flatten()
+                side, rep, component, own = (members.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                if len(rep) < 2:
+                    continue
+                regs = np.frombuffer(b"".join(members.field(4).to_pylist()), np.uint16).reshape(len(rep), M)
+                sets, at = members.field(5), members.field(5).offsets.to_numpy()
+                values = sets.values.to_numpy(zero_copy_only=False)
+                shingles_ = [values[at[i] : at[i + 1]] for i in range(len(rep))]
+                if links := block_links((side == hi).astype(int) if lo < hi else side, component, own, regs, shingles_, lo < hi, percent, slack):
+                    found.append(rep[np.array(links)])
+            pairs = np.sort(np.concatenate(found or [np.zeros((0, 2), np.int64)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -193,40 +268,45 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5)
     text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
 
     # The full sets of all that share a bucket: the texts are dealt once, for both rounds.
-    sets = cut(text.join(inside.select("rep").distinct(), "rep", "left_semi").mapInArrow(_sets(shingle_words), "rep long, shingles array<long>"))
+    # The other side grows with the documents, so it is never broadcast: the plan is the same at every size.
+    sets = cut(text.join(inside.select("rep").distinct().hint("merge"), "rep", "left_semi").mapInArrow(_sets(shingle_words), "rep long, shingles array<long>"))
+
+    def weighed(pairs: DataFrame) -> DataFrame:
+        side = lambda x: facts.select(F.col("rep").alias(x), F.col("registers").alias(f"r_{x}"), F.col("n_shingles").alias(f"n_{x}")).hint("merge")
+        return cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(_weigh(percent / 100, 18.0), "a long, b long").distinct())
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        side = lambda x: facts.select(F.col("rep").alias(x), F.col("registers").alias(f"r_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-        weighed = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b", "n_a", "n_b").mapInArrow(_weigh(percent / 100, 18.0), "a long, b long").distinct())
-        both = weighed.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("s_b")), "b")
+        side = lambda x: sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s_{x}")).hint("merge")
         common = F.size(F.array_intersect("s_a", "s_b"))
-        return cut(both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("s_a") + F.size("s_b") - F.col("common"))).select("a", "b").distinct())
+        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", common)
+        return cut(both.where(100 * F.col("common") >= percent * (F.size("s_a") + F.size("s_b") - F.col("common"))).select("a", "b").distinct())
 
     first = cut(first)
     same = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").join(member, "doc_id")
-    links = confirmed(first).union(same.select("a", F.col("rep").alias("b")))  # a repeated doc_id is one node
+    links = confirmed(weighed(first)).union(same.select("a", F.col("rep").alias("b")))  # a repeated doc_id is one node
     found = components(links)
     # What a bucket still holds of several components is compared in full. A set links with another only if they share
     # percent / (100 + percent) of both sizes' sum, and it shares no shingle that no other set of these buckets has: so
     # edits of its own exclude a far copy from all its pairs at once.
     def mixed(rows: DataFrame) -> DataFrame:
-        keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")).where("low < high").select("key", "least")
-        return rows.drop("least").join(keys, "key")
+        keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("small").alias("least"), F.count("*").alias("members"), F.sum("n").alias("held")).where("low < high")
+        return rows.drop("least", "members", "held").join(keys.select("key", "least", "members", "held"), "key")
 
-    sizes = facts.groupBy("rep").agg(F.max("n_shingles").alias("n"))
+    sizes = facts.groupBy("rep").agg(F.max("n_shingles").alias("n"), F.min("n_shingles").alias("small"))
     state = inside.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     state = cut(mixed(state.join(sizes, "rep")))
-    left = sets.join(state.select("rep").distinct(), "rep", "left_semi")
+    left = sets.join(state.select("rep").distinct().hint("merge"), "rep", "left_semi")
     alone = left.select("rep", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    alone = alone.join(left.groupBy("rep").count().where("count > 1"), "rep", "left_anti")  # texts that share a doc_id: no bound
-    part = state.join(alone, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-    part = part.where((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("least")))
-    part = cut(mixed(part))
-    side = lambda x: part.select("key", F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "shared")))
-    can = (100 + percent) * F.least("shared_a", "shared_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    x, y = side("a"), side("b")
-    rest = x.join(y, (x["key"] == y["key"]) & (x["a"] < y["b"]) & (x["component_a"] != y["component_b"]) & can).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = confirmed(rest)
+    alone = alone.join(sets.groupBy("rep").count().where("count > 1"), "rep", "left_anti")  # texts that share a doc_id: no bound
+    part = state.join(alone, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    part = part.where((100 + percent) * (F.col("n") - F.col("own")) >= percent * (F.col("n") + F.col("least")))
+    part = cut(mixed(part).select("key", "rep", "component", "own", "members", "held"))
+    bodies = sets.join(part.select("rep").distinct().hint("merge"), "rep", "left_semi").mapInArrow(_sketched_sets, "rep long, registers binary, shingles array<long>")
+    parts = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
+    dealt = part.withColumn("side", F.pmod(F.xxhash64("rep", F.lit(7)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "rep", "side", "component", "own").join(bodies.hint("merge"), "rep")
+    packed = dealt.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("side", "rep", "component", "own", "registers", "shingles")).alias("members")).select("lo", "hi", "members")
+    more = cut(packed.mapInArrow(_within_blocks(percent, 18.0), "a long, b long").distinct())
     if not more.isEmpty():
         found = components(links.union(more))
     final = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("label"))

@@ -77,6 +77,45 @@ def test_near_duplicates_of_nothing_and_nulls(docs):
     assert {(x.doc_id, x.component_id, x.kept) for x in rows} == {(None, None, True), (1, 1, True)}
 
 
+def test_near_duplicates_of_groups_around_the_threshold(docs, monkeypatch):
+    """Many members about as far from each other as the threshold, none of them a hub; blocks of a few members; a doc_id with
+    two texts of very different sizes, one of which links."""
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rng = random.Random(5)
+    rows = []
+    for n, k in ((60, 1), (90, 2), (200, 4)):
+        base = prose(n, rng)
+        rows += [(len(rows) + 1 + i, edit(base, k + i % 2, rng)) for i in range(60)]
+    short = prose(24, rng)
+    rows += [(900, short), (901, short + " x"), (901, prose(800, rng)), (902, "y " + short + " x")]
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    links = [(a, b) for (a, s), (b, t) in itertools.combinations(sets, 2) if a != b and 100 * len(s & t) >= 75 * len(s | t)]
+    want = components_of({i for i, _ in rows}, links)
+    assert 20 < len(set(want.values())) < 170
+    got = minhash.near_duplicates(docs(rows)).collect()
+    assert len(got) == len(rows)
+    assert {x.doc_id: x.component_id for x in got} == want
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_block_links_join_what_all_links_join(cross):
+    rng = random.Random(3)
+    base = prose(80, rng)
+    texts = [edit(base, rng.randrange(1, 5), rng) for _ in range(50)]
+    words_ = [sorted(shingle_set(t)) for t in texts]
+    code = {x: i for i, x in enumerate(sorted(set(itertools.chain(*words_))))}
+    hashes = [np.array([code[x] for x in w], np.int64) for w in words_]
+    mixed = [np.sort(minhash.mix(h.view(np.uint64) + np.uint64(1))) for h in hashes]
+    regs = np.vstack([minhash.registers(minhash.minima(np.zeros(len(h), np.int64), h, 1)) for h in mixed])
+    side = np.arange(50) % 2
+    ok = lambda a, b: 100 * len({*hashes[a]} & {*hashes[b]}) >= 75 * len({*hashes[a]} | {*hashes[b]})
+    every = [(a, b) for a, b in itertools.combinations(range(50), 2) if (not cross or side[a] != side[b]) and ok(a, b)]
+    got = minhash.block_links(side, np.arange(50), np.zeros(50, np.int64), regs, hashes, cross, 75, 18.0)
+    assert {tuple(sorted(x)) for x in got} <= {*every}
+    assert components_of(range(50), got) == components_of(range(50), every)
+    assert len(got) == 50 - len(set(components_of(range(50), every).values()))
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 2**64, 3000, dtype=np.uint64), rng.integers(0, 2**64, 1000, dtype=np.uint64)
