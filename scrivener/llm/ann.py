@@ -3,8 +3,9 @@
 Unit vectors are cut into pairs of coordinates and each pair is stored as one of 16 centres: four bits. The
 codes are chosen, and the centres fitted, for the loss that penalises a residual along its own vector more than
 one across it, as only the former moves the large inner products. A search adds, for blocks of queries and
-blocks of codes, one entry of a 16-entry table a pair, keeps the best candidates of each query, and ranks
-them anew by the exact cosine of the original vectors.
+blocks of codes, one entry of a 16-entry table a pair. The length of a vector's residual bounds the error of that sum: every
+vector whose sum plus bound reaches the query's k-th exact cosine so far is ranked by its own exact cosine, however many
+there are, so the result is that of a search without codes.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +22,11 @@ from .store import cut
 CENTRES, PAIR = 16, 2
 SAMPLE = 20_000  #: vectors, at most, that the centres are fitted on
 PARALLEL = 4.0  #: weight of the residual along the vector against that across
-CANDIDATES = 200  #: of each query, ranked exactly
 CODE_BLOCK, QUERY_BLOCK = 8192, 256
+BLOCK_BYTES, GROUP_BYTES = 1 << 22, 1 << 26  #: of vectors, at most, in a block of codes and (about) in a group of blocks
+ROUNDING = 1e-4  #: more than the sums of float32 entries are off
+TIE = 1e-9  #: more than two ways of summing the same cosine differ
+KEPT_QUERIES = 1 << 18  #: whose best a task holds before it passes them on
 
 
 def _split(x: np.ndarray) -> np.ndarray:
@@ -110,14 +113,21 @@ def _rows(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def residuals(x: np.ndarray, code: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Length of what the codes leave of each row."""
+    made = np.stack([centres[j][code[:, j]] for j in range(code.shape[1])], 1)
+    return np.sqrt(((_split(x) - made) ** 2).sum((1, 2)))
+
+
 def _codes(centres: np.ndarray, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
-                codes = pack(assign(_rows(part.column(1)), centres))
-                ids = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())], names=["ids", "codes"])
+                x = _rows(part.column(1))
+                code = assign(x, centres)
+                made = (part.column(0).to_numpy(), pack(code), residuals(x, code, centres), x)
+                yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary()) for m in made], names=["ids", "codes", "errors", "vectors"])
 
     return run
 
@@ -127,39 +137,66 @@ def _queries(block: int):
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([_rows(part.column(1)).astype(np.float32).tobytes()], pa.binary())], names=["query_ids", "queries"])
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([_rows(part.column(1)).tobytes()], pa.binary())], names=["query_ids", "queries"])
 
     return run
 
 
-def _best(centres: np.ndarray, most: int):
+def improve(score: np.ndarray, near: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, approximate: np.ndarray, errors: np.ndarray) -> None:
+    """Puts into score and near (queries, k), the best so far, what is better of a block of vectors; a place without a
+    vector has the score -inf. No vector that can reach the k-th best is left out."""
+    k = score.shape[1]
+    upper = approximate + (errors + ROUNDING)
+    upper[q_ids[:, None] == ids[None, :]] = -np.inf
+    first = np.argpartition(-upper, min(k, len(ids)) - 1, axis=1)[:, :k]
+    exact = np.einsum("qkd,qd->qk", vectors[first], queries)
+    exact[np.isneginf(np.take_along_axis(upper, first, 1))] = -np.inf
+    least = np.partition(np.concatenate([score, exact], 1), -k, axis=1)[:, -k]
+    reach = (upper >= least[:, None] - TIE) & (upper > -np.inf)
+    rows = np.flatnonzero(reach.any(0))
+    if not len(rows):
+        return
+    exact = queries @ vectors[rows].T
+    exact[~reach[:, rows]] = -np.inf
+    least = np.partition(np.concatenate([score, exact], 1), -k, axis=1)[:, -k]
+    reach = (exact >= least[:, None] - TIE) & (exact > -np.inf)
+    for i in np.flatnonzero(reach.any(1)):
+        own = rows[reach[i]]
+        s, v = np.concatenate([score[i], (vectors[own] * queries[i]).sum(1)]), np.concatenate([near[i], ids[own]])
+        order = np.lexsort((v, -s))[:k]
+        score[i], near[i] = s[order], v[order]
+
+
+def _best(centres: np.ndarray, k: int):
+    def passed(best: dict) -> Iterator[pa.RecordBatch]:
+        for key, (score, near) in best.items():
+            there = np.isfinite(score)
+            q = np.repeat(np.frombuffer(key, np.int64), there.sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(near[there]), pa.array(score[there])], names=["query_id", "vec_id", "score"])
+        best.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, held = {}, 0
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                queries = np.frombuffer(row["queries"], np.float32).reshape(len(q_ids), -1)
-                order = np.argsort(ids, kind="stable")
-                ids, codes = ids[order], codes[order]
-                score = scan(queries, codes, centres)
-                score[q_ids[:, None] == ids[None, :]] = -np.inf
-                k = min(most, len(ids))
-                least = -np.partition(-score, k - 1, axis=1)[:, k - 1]
-                q, c, s = [], [], []
-                for i in range(len(q_ids)):  # of equal scores, which equal codes have, the smaller ids
-                    above = np.flatnonzero(score[i] > least[i])
-                    tied = np.flatnonzero(score[i] == least[i])[: k - len(above)] if np.isfinite(least[i]) else np.zeros(0, int)
-                    own = np.concatenate([above, tied])
-                    q.append(np.full(len(own), q_ids[i]))
-                    c.append(ids[own])
-                    s.append(score[i][own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(c)), pa.array(np.concatenate(s))], names=["query_id", "vec_id", "approximate"])
+                vectors, queries = np.frombuffer(row["vectors"]).reshape(len(ids), -1), np.frombuffer(row["queries"]).reshape(len(q_ids), -1)
+                if row["query_ids"] not in best:
+                    if held + len(q_ids) > KEPT_QUERIES:
+                        yield from passed(best)
+                        held = 0
+                    best[row["query_ids"]] = (np.full((len(q_ids), k), -np.inf), np.zeros((len(q_ids), k), np.int64))
+                    held += len(q_ids)
+                improve(*best[row["query_ids"]], q_ids, queries, ids, vectors, scan(queries, codes, centres), np.frombuffer(row["errors"]))
+        yield from passed(best)
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, candidates: int = CANDIDATES) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score (exact cosine): each query's k nearest found among vectors but itself.
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score (exact cosine): each query's k nearest among vectors but itself.
 
     vectors, queries: vec_id, embedding; others are ignored. Vectors that are null, zero, of another length
     than the most common one, or hold null or non-finite components take no part, nor do null ids. Ties go to the
@@ -187,22 +224,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, candidates: int =
         return spark.createDataFrame([], empty)
     centres = np.frombuffer(model["centres"]).reshape(-1, CENTRES, PAIR)
     # Every block of codes is in one of some groups, and each block of queries goes to every group.
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = 8 * lengths["n"]
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-every.count() * each // GROUP_BYTES))
     group = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")
-    codes = cut(every.mapInArrow(_codes(centres, CODE_BLOCK), "ids binary, codes binary").withColumn("group", group))
+    block = max(1, min(CODE_BLOCK, BLOCK_BYTES // each))
+    codes = cut(every.mapInArrow(_codes(centres, block), "ids binary, codes binary, errors binary, vectors binary").withColumn("group", group))
     blocks = cut(asked.mapInArrow(_queries(QUERY_BLOCK), "query_ids binary, queries binary"))
-    work = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(codes, "group")
-    found = work.select("query_ids", "queries", "ids", "codes").mapInArrow(_best(centres, candidates), "query_id long, vec_id long, approximate float")
-    near = Window.partitionBy("query_id").orderBy(F.desc("approximate"), "vec_id")
-    found = found.withColumn("place", F.row_number().over(near)).where(F.col("place") <= candidates).select("query_id", "vec_id")
-    pairs = found.join(every, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("unit").alias("asked")), "query_id")
-
-    def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            if len(x):
-                yield pd.DataFrame({"query_id": x.query_id, "vec_id": x.vec_id, "score": (np.stack(x.unit) * np.stack(x.asked)).sum(1)})
-
-    scored = pairs.mapInPandas(exact, "query_id long, vec_id long, score double")
+    work = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(codes.hint("merge"), "group")
+    scored = work.select("query_ids", "queries", "ids", "codes", "errors", "vectors").mapInArrow(_best(centres, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -221,6 +221,21 @@ def test_nearest(spark):
     assert ann.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_nearest_inside_a_dense_group(spark):
+    """Near copies, more than any short list of candidates holds, whose differences are below the error of the codes."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(600, 16)), rng.normal(size=16) + 1e-4 * rng.normal(size=(900, 16))])
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for i in range(0, len(x), 50):
+        s = unit @ unit[i]
+        s[i] = -9
+        want |= {(i, int(v)) for v in np.argsort(-s)[:5]}
+    got = {(r.query_id, r.vec_id) for r in ann.search(table, table.where("vec_id % 50 = 0")).collect()}
+    assert len(got & want) / len(want) == 1.0
+
+
 def test_toxicity(spark, docs):
     rng, bad = random.Random(6), ["zzvile", "zznasty", "zzawful"]
     rows, labels = [], []
