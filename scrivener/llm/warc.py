@@ -1,8 +1,9 @@
 """Merkle fixity audits of WARC files.
 
 A record's bytes are hashed to a leaf. The leaves of a file, in the order of their offsets, are hashed by ranges of
-`fanout` to the next level and so on up to one root a file. Two replicas are compared root by root; of files
-whose roots differ only the children of differing nodes are compared, level by level, down to the corrupt records.
+`fanout` to the next level and so on up to one root a file. Each replica has a second tree over its own order, whose nodes
+hash their offset and length, too. These are compared root by root; of files whose roots differ only the children of
+differing nodes are compared, level by level, down to the records that are missing, extra or moved.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ def record(page_id: str = "page_id", url: str = "url", html: str = "html") -> Co
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
-def leaves(pages: DataFrame) -> DataFrame:
-    """page_id, n_bytes, leaf (SHA-256 of the record, hex)."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), record().alias("r")).select("page_id", F.octet_length("r").cast("long").alias("n_bytes"), F.sha2(F.encode("r", "UTF-8"), 256).alias("leaf"))
+def leaves(pages: DataFrame, *more: str) -> DataFrame:
+    """page_id, n_bytes, leaf (SHA-256 of the record, hex) and the columns named by more."""
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), record().alias("r"), *more).select("page_id", F.octet_length("r").cast("long").alias("n_bytes"), F.sha2(F.encode("r", "UTF-8"), 256).alias("leaf"), *more)
 
 
 def place(leaves_: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
@@ -54,33 +55,74 @@ def levels(placed: DataFrame, value: str, fanout: int = FANOUT, file_records: in
     return out
 
 
-def audit(pages: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """One row per record of `pages`: page_id, file, offset, n_bytes, leaf, root (of its file), intact.
+def stored(pages: DataFrame) -> DataFrame:
+    """page_id, n_bytes, leaf, file, slot, offset: where pages has file and offset, its records in that order, with these
+    offsets; else as place() puts them."""
+    if not {"file", "offset"} <= {*pages.columns}:
+        return place(leaves(pages))
+    rows = leaves(pages, "file", "offset")
+    slot = F.row_number().over(Window.partitionBy("file").orderBy("offset", "page_id", "leaf")) - 1
+    return rows.select("page_id", "n_bytes", "leaf", F.col("file").cast("long").alias("file"), slot.alias("slot"), F.col("offset").cast("long").alias("offset"))
+
+
+def nodes(placed: DataFrame, fanout: int = FANOUT, file_records: int = FILE_RECORDS) -> list[DataFrame]:
+    """The tree by which replicas are compared, leaves first: tables of file, slot, offset, n_bytes, hash; the hash covers offset,
+    length and the children in order. A file of more records has several nodes in the last table."""
+    hashed = lambda inner: F.sha2(F.concat_ws(":", "offset", "n_bytes", inner), 256).alias("hash")
+    level = placed.select("file", "slot", "offset", "n_bytes", hashed("leaf"))
+    out, width = [level], file_records
+    while width > 1:
+        ordered = F.array_sort(F.collect_list(F.struct("slot", "hash")))
+        inner = F.array_join(F.transform(ordered, lambda x: x["hash"]), "").alias("inner")
+        level = level.groupBy("file", F.floor(F.col("slot") / fanout).cast("int").alias("up")).agg(F.min("offset").alias("offset"), F.sum("n_bytes").alias("n_bytes"), inner)
+        level = cut(level.select("file", F.col("up").alias("slot"), "offset", "n_bytes", hashed("inner")))
+        out.append(level)
+        width = -(-width // fanout)
+    return out
 
-    pages, replica: page_id, url, html; other columns are ignored. The replica's record is that of the same page_id;
-    where rows repeat a page_id, those with equal leaves match and the rest are not intact. A record that the replica
-    lacks is not intact. Null fields are empty. Empty tables give no rows.
+
+def compare(own: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """One row per record that differs between two tables of stored(): finding, page_id, leaf, file, slot, offset (null if
+    extra), other_file, other_slot, other_offset (null if missing).
+
+    finding: 'missing' (in own only), 'extra' (in theirs only) or 'moved' (the same bytes in another file, slot or at
+    another offset). A record whose bytes were changed is missing and, as what it became, extra. Of records that are
+    alike as many match as both have, first those in their place.
     """
-    own = cut(place(leaves(pages)))
-    theirs = leaves(replica).groupBy("page_id", "leaf").agg(F.count("*").alias("_n")).withColumnRenamed("leaf", "other").withColumnRenamed("page_id", "_id")
-    rank = F.col("file") * FILE_RECORDS + F.col("slot")  # records that are alike follow each other
-    first = own.groupBy("page_id", "leaf").agg(F.min(rank).alias("_from"))
-    theirs = theirs.join(first, theirs["_id"].eqNullSafe(first["page_id"]) & (theirs["other"] == first["leaf"])).select("_id", "other", (F.col("_from") + F.col("_n")).alias("_to"))
-    # Of records that are alike, as many are matched as the replica has; the others get its first leaf of that page_id.
-    equal = own.join(theirs, own["page_id"].eqNullSafe(theirs["_id"]) & (own["leaf"] == theirs["other"]) & (rank < F.col("_to")), "left").select("file", "slot", "leaf", "page_id", "other")
-    wrong = leaves(replica).groupBy(F.col("page_id").alias("_p")).agg(F.min("leaf").alias("_first"))
-    both = cut(equal.join(wrong, equal["page_id"].eqNullSafe(wrong["_p"]), "left").select("file", "slot", "leaf", F.coalesce("other", "_first", F.lit("")).alias("found")))
-    tree, found = levels(both, "leaf", fanout), levels(both, "found", fanout)
     differ = None
-    for a, b in zip(reversed(tree), reversed(found), strict=True):  # from the roots down, below differing nodes only
-        pair = a.join(b.withColumnRenamed("hash", "found"), ["file", "slot"])
-        if differ is not None:
-            pair = pair.withColumn("up", F.floor(F.col("slot") / fanout).cast("int")).join(differ.select("file", F.col("slot").alias("up")), ["file", "up"], "left_semi")
-        differ = cut(pair.where("hash <> found").select("file", "slot"))
+    for a, b in zip(reversed(nodes(own, fanout)), reversed(nodes(theirs, fanout)), strict=True):  # from the roots down
+        if differ is not None:  # below differing nodes only
+            above = differ.select("file", F.col("slot").alias("up"))
+            a, b = (x.withColumn("up", F.floor(F.col("slot") / fanout).cast("int")).join(above, ["file", "up"], "left_semi") for x in (a, b))
+        pair = a.select("file", "slot", F.col("hash").alias("one")).join(b.select("file", "slot", F.col("hash").alias("two")), ["file", "slot"], "full")
+        differ = cut(pair.where(~F.col("one").eqNullSafe(F.col("two"))).select("file", "slot"))
         if differ.isEmpty():
             break
-    roots = tree[-1].select("file", F.col("hash").alias("root"))
-    bad = differ.withColumn("_bad", F.lit(True))
+    alike = F.row_number().over(Window.partitionBy("page_id", "leaf").orderBy("file", "slot"))
+    a, b = (x.join(differ, ["file", "slot"], "left_semi").withColumn("nth", alike) for x in (own, theirs))
+    b = b.select(*[F.col(x).alias(f"other_{x}") for x in ("page_id", "leaf", "nth", "file", "slot", "offset")])
+    both = a.join(b, a["page_id"].eqNullSafe(b["other_page_id"]) & (a["leaf"] == b["other_leaf"]) & (a["nth"] == b["other_nth"]), "full")
+    finding = F.when(F.col("other_leaf").isNull(), "missing").when(F.col("leaf").isNull(), "extra").otherwise("moved")
+    return both.select(finding.alias("finding"), F.coalesce("page_id", "other_page_id").alias("page_id"), F.coalesce("leaf", "other_leaf").alias("leaf"), "file", "slot", "offset", "other_file", "other_slot", "other_offset")
+
+
+def differences(pages: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """The rows of compare() for pages and replica (page_id, url, html; with file and offset, these are their places)."""
+    return compare(cut(stored(pages)), cut(stored(replica)), fanout)
+
+
+def audit(pages: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """One row per record of `pages`: page_id, file, offset, n_bytes, leaf, root (of its file), intact.
+
+    pages, replica: page_id, url, html, and file and offset where their order is known; other columns are ignored. A record is
+    intact unless compare() finds it missing: one that was only moved has all its bytes. What is moved or only in the replica is in
+    differences(). root covers the records' hashes, not their offsets. Null fields are empty. Empty tables give no rows.
+    """
+    own = cut(stored(pages))
+    found = compare(own, cut(stored(replica)), fanout)
+    bad = found.where("finding = 'missing'").select("file", "slot", F.lit(True).alias("_bad"))
+    longest = max(FILE_RECORDS, (own.agg(F.max("slot")).first()[0] or 0) + 1)  # a file that is given may hold more
+    roots = levels(own, "leaf", fanout, longest)[-1].select("file", F.col("hash").alias("root"))
     return own.join(bad, ["file", "slot"], "left").join(roots, "file").select("page_id", "file", "offset", "n_bytes", "leaf", "root", F.col("_bad").isNull().alias("intact"))
 
 

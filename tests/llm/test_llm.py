@@ -275,6 +275,24 @@ def test_warc_audit(spark):
     assert all(x.intact for x in warc.audit(pages, pages).collect()) and warc.audit(pages.limit(0), pages).count() == 0
 
 
+def test_warc_differences(spark):
+    """Records that only the replica has, that lie elsewhere in it, or whose offset is wrong."""
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * (i % 7)) for i in range(1200)] + [(5000, "same", "")] * 3, "page_id long, url string, html string")
+    found = lambda a, b: sorted((x.finding, x.page_id) for x in warc.differences(a, b).collect())
+    assert found(pages, pages) == []
+    more = spark.createDataFrame([(9000, "v", "z"), (5000, "same", "")], pages.schema)
+    assert found(pages, pages.union(more)) == [("extra", 5000), ("extra", 9000)]
+    assert [x for x in found(pages, pages.where("page_id <> 1100")) if x[0] != "moved"] == [("missing", 1100)]
+    whole = warc.stored(pages).select("page_id", "file", "offset", "n_bytes").distinct()
+    at = {x.page_id: (x.file, x.offset) for x in whole.where("page_id < 5000").collect()}
+    placed = lambda change: spark.createDataFrame([(i, f"u{i}", "x" * (i % 7), *change.get(i, at[i])) for i in range(1200)], "page_id long, url string, html string, file long, offset long")
+    alone = placed({})
+    assert found(alone, placed({})) == []
+    assert found(alone, placed({7: at[14], 14: at[7]})) == [("moved", 7), ("moved", 14)]
+    assert found(alone, placed({1199: (at[1199][0], at[1199][1] + 5)})) == [("moved", 1199)]
+    assert all(x.intact for x in warc.audit(alone, placed({7: at[14], 14: at[7]})).collect())
+
+
 def test_bpe(docs, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
