@@ -11,46 +11,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivener.llm import bpe, minhash, mixing, substring, toxicity
-from scrivener.llm.store import cut
+from scrivener.llm.store import cut, ranked
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _marked(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """docs joined to one row an id of marks (column _id)."""
-    return docs.join(marks, docs["doc_id"].eqNullSafe(marks["_id"]), how)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _row, a key of each row in the order of doc_id (null last), then of the other columns. Only rows whose doc_id is null
+    or repeated are dealt anew, unless the ids leave no bits for their places."""
+    key = F.col("doc_id").cast("long")
+    odd = cut(docs.groupBy(key.alias("_id")).count().where("_id is null or count > 1"))
+    rows = odd.agg(F.sum("count")).first()[0]
+    if not rows:
+        return docs.withColumn("_row", key)
+    order = (F.col("doc_id").asc_nulls_last(), F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars"))
+    low, high = docs.agg(F.min(key), F.max(key)).first()
+    most, bits = max(-(low or 0), high or 0) + 1, rows.bit_length()
+    if most.bit_length() + bits > 62:
+        return cut(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()))
+    some = cut(ranked(docs.join(odd, key.eqNullSafe(odd["_id"]), "left_semi"), *order))
+    first = some.groupBy(key.alias("_id")).agg(F.min("rank").alias("_first"))
+    some = some.join(first, key.eqNullSafe(first["_id"])).withColumn("_row", F.coalesce(key, F.lit(most)) * F.lit(1 << bits) + F.col("rank") - F.col("_first"))
+    rest = docs.join(odd, key.eqNullSafe(odd["_id"]), "left_anti").withColumn("_row", key * F.lit(1 << bits))
+    return rest.select(*COLUMNS, "_row").union(some.select(*COLUMNS, "_row"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold. Rows that repeat a doc_id go together, if any of them is toxic."""
+    """The rows whose own toxicity score is below the threshold, whatever other rows their doc_id has."""
     docs = docs.select(*COLUMNS)
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = toxicity.score(docs, model).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return _marked(docs, bad, "left_anti").select(*COLUMNS)
+    return toxicity.clean(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; of rows that repeat a doc_id one text stays, the
-    smallest. Rows with a null doc_id stay."""
-    docs = docs.select(*COLUMNS)
-    sizes = cut(minhash.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")))
-    gone = sizes.where("not kept").select(F.col("doc_id").alias("_id"))
-    rest = _marked(docs, gone, "left_anti").select(*COLUMNS)
-    many = sizes.where("rows > 1 and doc_id is not null").select(F.col("doc_id").alias("_id"))
-    if many.isEmpty():
-        return rest
-    one = _marked(rest, many, "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
-    return _marked(rest, many, "left_anti").select(*COLUMNS).union(one.select(*COLUMNS))
+    """Of each group of near duplicates the row with the smallest doc_id (null last), of those the one with the smallest text. Rows that
+    share a doc_id, or have none, are near duplicates only if their sets link."""
+    docs = _keyed(docs.select(*COLUMNS))
+    gone = cut(minhash.near_duplicates(docs.select(F.col("_row").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("_row")))
+    return docs.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words that windows of an earlier document cover. Documents that lose nothing keep their text
+    """Rows without the words that windows of an earlier row cover, earlier by doc_id. Rows that lose nothing keep their text
     as it is; the others keep the rest of their words, joined by one space, down to an empty text."""
-    docs = docs.select(*COLUMNS)
-    facts, removals = substring.repeated(docs)
+    docs = _keyed(docs.select(*COLUMNS))
+    facts, removals = substring.repeated(docs.select(F.col("_row").alias("doc_id"), "text"))
     changed = facts.where("copy").select("doc_id", F.lit("").alias("kept")).union(removals.select("doc_id", "kept"))
-    changed = changed.groupBy(F.col("doc_id").alias("_id")).agg(F.min("kept").alias("_kept"))
-    rows = _marked(docs, changed, "left").withColumn("text", F.coalesce("_kept", "text"))
+    changed = changed.groupBy(F.col("doc_id").alias("_row")).agg(F.min("kept").alias("_kept"))
+    rows = docs.join(changed, "_row", "left").withColumn("text", F.coalesce("_kept", "text"))
     return rows.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long")).select(*COLUMNS)
 
 

@@ -200,6 +200,22 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def _clean(weights: bytes, bias: float, least: float, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = np.frombuffer(weights, np.float32)
+        for batch in batches:
+            for lo, hi, data, offsets in blocks(batch.column(at)):
+                _, whole = Sentences(data, offsets).scores(w, bias)
+                yield batch.slice(lo, hi - lo).filter(pa.array(np.clip(whole, 0, 1) < least))
+
+    return run
+
+
+def clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all columns, that score() does not predict toxic; each row by its own text."""
+    return docs.mapInArrow(_clean(model[0].tobytes(), float(model[1]), threshold, docs.columns.index("text")), docs.schema)
+
+
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return score(docs, train(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted")

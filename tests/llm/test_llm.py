@@ -409,6 +409,32 @@ def test_pipeline(spark, tmp_path):
     assert sorted((x.doc_id, x.ids_sha256) for x in p.run(spark, str(tmp_path)).collect()) == sorted((x.doc_id, x.ids_sha256) for x in seen[4])
 
 
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    """Rows with a null or repeated doc_id: a toxic one, clean ones, near copies and a shared passage among them."""
+    import corpus_pipeline as p
+
+    rng = random.Random(31)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    bad = lambda: prose(20, rng) + " zzvile zznasty. " + prose(20, rng)
+    rows = [(i, prose(50, rng) if i % 3 else bad()) for i in range(90)]
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    clean = [(i, prose(80, rng)) for i in (500, 500, 501, 501, None, None, None)]
+    near = [(501, clean[2][1] + " x"), (None, clean[4][1]), (None, clean[0][1])]
+    rows += clean + near + [(500, bad()), (None, bad())]
+    frame = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], schema)
+    kept = p.drop_toxic(spark, frame, str(tmp_path))
+    got = sorted(x.text for x in kept.collect())
+    assert got == sorted(t for _, t in rows if "zzvile" not in t)
+    rest = p.drop_near_duplicates(spark, kept, str(tmp_path)).collect()
+    assert sorted(x.text for x in rest if x.doc_id is None or x.doc_id >= 500) == sorted(t for _, t in clean)
+    shared = [(7, prose(40, rng)), (8, prose(40, rng)), (8, prose(40, rng)), (None, prose(40, rng)), (None, prose(40, rng))]
+    passage = shared[0][1]
+    shared[2], shared[4] = (8, shared[2][1] + " " + passage), (None, shared[4][1] + " " + passage)
+    frame = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in shared], schema)
+    want = sorted(t.removesuffix(" " + passage) for _, t in shared)
+    assert sorted(x.text for x in p.drop_repeated_passages(spark, frame, str(tmp_path)).collect()) == want
+
+
 def test_penalty_is_chosen_without_held_out_labels(spark, docs):
     rng = random.Random(8)
     rows, labels = [], []
