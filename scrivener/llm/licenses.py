@@ -1,7 +1,9 @@
 """Licence scans by canonical digests: a text is brought to one form and its digest looked up.
 
 The form: lower case, no copyright lines, equivalent spellings made one, every run of other characters
-than letters and digits one space. The digest of the whole form is joined by hash to those of known licences.
+than letters and digits one space. The digest of the whole form is joined by hash to those of known licences. A text that
+this leaves without a licence is looked up by a second form, which drops only lines of the shape of a copyright
+statement, among the same texts and those with their usual titles.
 """
 
 from __future__ import annotations
@@ -10,6 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A year, (c) or a holder's name; not a line of a licence's own words that a wrap lets start with 'copyright'.
+STATEMENT = (
+    r"(?m)^[ \t]*(?:(?i:(?:copyright|\(c\)|©)(?:[ \t,:]|\(c\)|©|copyright|by\b)*(?:[0-9]{4}|[<\[{])[^\n]*|copyright[ \t]*(?:\(c\)|©|by\b)[^\n]*|©[^\n]*|all rights reserved[. \t\r]*)"
+    r"|Copyright[ \t:]+(?!(?i:notices?|holders?|owners?|licen[cs]e|laws?|statements?|and|or|in|the|is)\b)\p{Lu}[^\n]*)$"
+)
 #: Equivalent spellings, applied in this order after punctuation is gone.
 SPELLINGS = (
     ("licence", "license"),
@@ -51,9 +58,25 @@ Permission is granted to anyone to use this software for any purpose, including
     "notice-CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
 
+#: Titles that files of KNOWN's licences start with.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero Clause BSD License", "BSD Zero Clause License (0BSD)"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+}
+
 
 def canonical(text: str = "text") -> Column:
-    form = F.regexp_replace(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), COPYRIGHT_LINE, "")
+    return _plain(F.regexp_replace(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), COPYRIGHT_LINE, ""))
+
+
+def whole(text: str = "text") -> Column:
+    """The second form: all words but copyright statements."""
+    return _plain(F.lower(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), STATEMENT, "")))
+
+
+def _plain(form: Column) -> Column:
     form = F.trim(F.regexp_replace(form, r"[^\p{L}\p{N}]+", " "))
     for old, new in SPELLINGS:
         form = F.replace(form, F.lit(old), F.lit(new))
@@ -68,17 +91,26 @@ def known(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(KNOWN.items()), "license string, text string")
 
 
+def _titled(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(x, f"{title}\n\n{KNOWN[x]}") for x, titles in TITLES.items() for title in titles], "license string, text string")
+
+
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, digest, license (null where the whole text is no known licence).
 
     licenses: license, text; by default KNOWN. Of licences that share a form the first name is given. Null, empty and
     word-free texts have the digest of the empty form and match nothing. Other columns are ignored.
     """
+    titled = licenses if licenses is not None else known(docs.sparkSession).union(_titled(docs.sparkSession))
     licenses = licenses if licenses is not None else known(docs.sparkSession)
+    sha = lambda form: F.sha2(F.encode(form, "UTF-8"), 256)
     table = licenses.where(canonical() != "").groupBy(digest().alias("digest")).agg(F.min("license").alias("license"))
-    few = table.limit(FEW_LICENCES + 1).count() <= FEW_LICENCES
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"))
-    return rows.join(F.broadcast(table) if few else table, "digest", "left").select("doc_id", "digest", "license")
+    second = titled.where(whole() != "").groupBy(sha(whole()).alias("_whole")).agg(F.min("license").alias("_second"))
+    few = max(x.limit(FEW_LICENCES + 1).count() for x in (table, second)) <= FEW_LICENCES
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), sha(whole()).alias("_whole"))
+    for x, key in ((table, "digest"), (second, "_whole")):
+        rows = rows.join(F.broadcast(x) if few else x, key, "left")
+    return rows.select("doc_id", "digest", F.coalesce("license", "_second").alias("license"))
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -316,6 +316,16 @@ def test_licenses(docs):
     assert got == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: None, 7: "notice-MIT"}
 
 
+def test_licenses_as_files_have_them(docs):
+    """Titled, with copyright statements of several shapes, and wrapped so that a line starts with 'copyright'."""
+    isc = licenses.KNOWN["ISC"].replace("above copyright", "above\ncopyright")
+    mit = licenses.KNOWN["MIT"].replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS")
+    rows = [(1, "ISC License\n\nCopyright (c) 2020, Someone\n\n" + isc), (2, "MIT License\n\nCopyright © 2019-2021 A B\nAll rights reserved.\n\n" + mit), (3, isc), (4, "Copyright Jane Doe\n" + mit)]
+    rows += [(5, "The MIT License (MIT)\n" + mit + "\nand more"), (6, "MIT License")]
+    got = {x.doc_id: x.license for x in licenses.scan(docs(rows)).collect()}
+    assert got == {1: "ISC", 2: "MIT", 3: "ISC", 4: "MIT", 5: None, 6: None}
+
+
 def test_sharding(docs):
     rows = [(i, "x" * RNG.randrange(0, 3000)) for i in range(800)] + [(900, "y" * 50_000), (None, None)] + [(1000, "z" * 900)] * 300
     got = sharding.shard(docs(rows), limit=20_000).collect()
