@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrivener.functions.columns import mean_db, ordered_text, overlap, ratio
-from scrivener.functions.text import find_terms_udf, marker_hits, normalized, substring_distance_udf
+from scrivener.functions.text import find_terms_udf, marker_hits, normalized
 from scrivener.operators import adjudicate, chunks, intervals, levels, lint, validate
 from scrivener.operators.score import hallucinated, score
 from scrivener.plans import frames
@@ -292,16 +292,19 @@ def q_find_terms(spark, d):
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def q_benchmark_in_docs(spark, d):
-    """F6 at scale: benchmark items that lie in a document without an edit. A pair is aligned only if it shares the hash of the item's
-    first 24 words' first 8."""
-    grams = lambda t: F.expr(f"transform(sequence(0, greatest(0, size({t}) - 8)), i -> xxhash64(array_join(slice({t}, i + 1, 8), ' ')))")
+    """F6 at scale, verbatim hits only: benchmark items that lie in a document without an edit. A pair is looked at only if the document
+    has the item's words 2 to 9, or of a shorter item all between its first and last; items without such words meet every document."""
+    grams = lambda t, m: F.expr(f"transform(sequence(0, greatest(0, size({t}) - {m})), i -> xxhash64(array_join(slice({t}, i + 1, {m}), ' ')))")
     docs = frames.table(spark, d, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("w"))
     items = frames.table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), F.split("text", r"\s+").alias("v"))
+    items = items.withColumn("m", F.least(F.lit(8), F.size("v") - 2))
     # inner words of an item are whole words of a document that holds it
-    docs = docs.select("doc_id", "text", F.explode(F.array_distinct(grams("w"))).alias("g"))
-    items = items.select("item_id", "item", F.expr("xxhash64(array_join(slice(v, 2, 8), ' '))").alias("g"))
-    pairs = docs.join(items, "g").dropDuplicates(["doc_id", "item_id"])
-    return pairs.where(F.contains("text", "item")).where(substring_distance_udf(F.col("item"), F.substr("text", F.greatest(F.lit(1), F.instr("text", F.col("item"))), F.length("item"))) == 0).select("item_id", "doc_id")
+    pairs = docs.select("doc_id", "text").crossJoin(items.where("m < 1").select("item_id", "item"))
+    for m in sorted(x.m for x in items.where("m >= 1").select("m").distinct().collect()):  # 8 lengths at most
+        runs = docs.select("doc_id", "text", F.explode(F.array_distinct(grams("w", m))).alias("g"))
+        own = items.where(F.col("m") == m).select("item_id", "item", F.expr(f"xxhash64(array_join(slice(v, 2, {m}), ' '))").alias("g"))
+        pairs = pairs.union(runs.join(own, "g").select("doc_id", "text", "item_id", "item"))
+    return pairs.where(F.contains("text", "item")).select("item_id", "doc_id")
 
 
 @query()

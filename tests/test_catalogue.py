@@ -18,3 +18,14 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(a.columns) == sorted(b.columns)
     rows = lambda x: sorted(map(tuple, x[sorted(x.columns)].astype(str).replace("nan", "None").values))
     assert rows(a) == rows(b) and len(a)
+
+
+def test_benchmark_items_of_any_length(spark, tmp_path):
+    text = "zero one two three four five six seven eight nine ten eleven twelve"
+    words = text.split(" ")
+    items = [(n, " ".join(words[1 : n + 1])[1:-1]) for n in range(1, 12)] + [(20, "zero two"), (21, "one two four five"), (22, None)]
+    spark.createDataFrame([(1, text), (2, "other"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted((x.item_id, x.doc_id) for x in QUERIES["q_benchmark_in_docs"](spark, str(tmp_path)).collect())
+    want = sorted((i, k) for i, t in items if t is not None for k, d in ((1, text), (2, "other")) if t in d)
+    assert got == want
