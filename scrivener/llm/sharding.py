@@ -65,6 +65,8 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
             break
         rows = cut(rows.join(left.select("cell"), "cell", "left_semi").drop("cell"))
         low = high + 1
+    else:
+        raise ValueError(f"records that agree in {BITS} bits are together above the limit of {limit} bytes")
     result = out[0]
     for more in out[1:]:
         result = result.unionByName(more)

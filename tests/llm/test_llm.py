@@ -341,6 +341,12 @@ def test_sharding(docs):
     assert sharding.shard(docs([])).count() == 0 and sharding.shard(docs(rows[:3]), 10**9).first().shard == ""
 
 
+def test_sharding_loses_no_row_without_an_error(docs, monkeypatch):
+    monkeypatch.setattr(sharding, "_bits", lambda prefix, hexed: "repeat('0', 32)")
+    with pytest.raises(ValueError, match="agree in 64 bits"):
+        sharding.shard(docs([(1, "x" * 60), (1, "y" * 60)]), limit=100)
+
+
 def strip_repeats(rows, width=13):
     seen, out = {}, {}
     for i, t in sorted(rows, key=lambda r: r[0]):
