@@ -44,11 +44,12 @@ def golden_raw(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def load_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(manifests, segments, lines), or GoldenError with every error of every set."""
+    """(manifests, segments, lines), or GoldenError with the errors of every set, beyond 1000 with their number."""
     manifests, lines = golden_raw(spark, path)
     bad = manifest_errors(manifests).select("set_id", F.concat(F.lit("segment "), F.col("place")).alias("at"), "error").union(line_errors(lines, manifests).select("set_id", F.concat(F.lit("line "), F.col("ord")), "error"))
     if found := bad.orderBy("set_id", "at", "error").limit(1000).collect():
-        raise GoldenError("\n".join(f"{x.set_id}, {x.at or 'manifest'}: {x.error}" for x in found))
+        more = [f"the first 1000 of {n} errors; all are in manifest_errors() and line_errors()"] if len(found) == 1000 and (n := bad.count()) > 1000 else []
+        raise GoldenError("\n".join([f"{x.set_id}, {x.at or 'manifest'}: {x.error}" for x in found] + more))
     m = manifests.select(F.from_json("raw", MANIFEST_SCHEMA).alias("m")).select("m.*")
     segments = m.select("set_id", F.explode("segments").alias("s")).select("set_id", F.col("s.id").alias("seg"), "s.t_start", "s.t_end", "s.reason", "s.clip", "s.post_edit")
     return m.drop("segments"), segments, lines.select("set_id", "ord", F.from_json("raw", LINE_SCHEMA).alias("l")).select("set_id", "ord", "l.*")

@@ -33,8 +33,9 @@ def save(lines: DataFrame, root: str, manifests: DataFrame | None = None, keep:
     A version counts once its _SUCCESS file is there, so a reader never sees half of one. One writer at a time."""
     if lines.isEmpty():
         return ["an empty list is not written"]
-    if bad := [f"{x.set_id}, line {x.ord}: {x.error}" for x in line_errors(lines, manifests).orderBy("set_id", "ord", "error").limit(1000).collect()]:
-        return bad
+    errors = line_errors(lines, manifests)
+    if bad := [f"{x.set_id}, line {x.ord}: {x.error}" for x in errors.orderBy("set_id", "ord", "error").limit(1000).collect()]:
+        return bad + ([f"the first 1000 of {n} errors; all are in line_errors()"] if len(bad) == 1000 and (n := errors.count()) > 1000 else [])
     spark = lines.sparkSession
     lines.write.parquet(f"{root}/v={time.time_ns():020d}")
     fs, _ = _fs(spark, root)

@@ -189,3 +189,15 @@ def test_streamed_levels(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((x.bins, round(x.rms_db)) for x in spark.table("levels").collect()) == [(60, -20)] * 3
+
+
+def test_errors_beyond_the_first_thousand_are_counted(spark, tmp_path):
+    from scrivener.sources import readers, store
+
+    (tmp_path / "set").mkdir()
+    (tmp_path / "set" / "manifest.json").write_text("{}")
+    (tmp_path / "set" / "lines.jsonl").write_text("[\n" * 1500)
+    with pytest.raises(readers.GoldenError, match="the first 1000 of [0-9]+ errors"):
+        readers.load_golden(spark, str(tmp_path / "set"))
+    lines = spark.createDataFrame([("s", i, "[") for i in range(1500)], "set_id string, ord int, raw string")
+    assert "the first 1000 of " in store.save(lines, str(tmp_path / "store"))[-1]
