@@ -11,24 +11,26 @@ from pyspark.sql import functions as F
 
 from scrivener.functions.columns import verdict
 from scrivener.functions.text import normalized, rounded
+from scrivener.operators.intervals import BUCKET, _spread
 from scrivener.operators.levels import speech_density
 from scrivener.operators.score import hallucinated
 
 GAP = 0.5
 
 
-def merged(spans: DataFrame, occupied: DataFrame, part: list[str], seg: list[str], gap: float = GAP) -> DataFrame:
+def merged(spans: DataFrame, occupied: DataFrame, part: list[str], seg: list[str], gap: float = GAP, bucket: float = BUCKET) -> DataFrame:
     """spans (part, seg, ord, start, end, text) as islands: part, seg, island, start, end, text, n_cues, cue_sec, span_sec.
 
-    occupied (part, lo, hi): intervals that no merge may cross. part: the recording; seg: what divides spans further."""
+    occupied (part, lo, hi): intervals that no merge may cross. part: the recording; seg: what divides spans further;
+    bucket: of time, within which spans meet intervals."""
     rows = spans.withColumn("end", F.greatest("start", "end")).withColumn("text", F.coalesce("text", F.lit("")))
     order = Window.partitionBy(*part, *seg).orderBy("start", "ord")
     rows = rows.withColumn("_mx", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    near = rows.where((F.col("start") - F.col("_mx") <= gap) & (F.col("start") > F.col("_mx")))
-    reach = F.col("hi") > F.col("_mx")
-    blocked = near.join(occupied, part).where(reach & (F.col("lo") < F.col("start"))).select(*part, *seg, "ord").distinct().withColumn("_blocked", F.lit(True))
-    inside = rows.where(F.col("start") <= F.col("_mx")).join(occupied, part).where(reach & (F.col("lo") < F.col("start"))).select(*part, *seg, "ord").distinct().withColumn("_blocked", F.lit(True))
-    rows = rows.join(blocked.union(inside), [*part, *seg, "ord"], "left")
+    # Whatever blocks a run of cues lies in the pause before its next cue or, where there is none, over that cue's start.
+    asked = rows.where(F.col("start") - F.col("_mx") <= gap).select(*part, *seg, "ord", "_mx", F.col("start").alias("_at"), F.least("_mx", "start").alias("_q"))
+    asked, taken = _spread(asked, "_q", "_at", "qb", bucket), _spread(occupied.select(*part, "lo", "hi"), "lo", "hi", "ob", bucket)
+    blocked = asked.join(taken, [*part, "_b"]).where((F.col("hi") > F.col("_mx")) & (F.col("lo") < F.col("_at"))).select(*part, *seg, "ord").distinct().withColumn("_blocked", F.lit(True))
+    rows = rows.join(blocked, [*part, *seg, "ord"], "left")
     new = F.col("_mx").isNull() | (F.col("start") - F.col("_mx") > gap) | F.coalesce("_blocked", F.lit(False))
     rows = rows.withColumn("island", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "ord", "text"))), lambda x: x["text"]), "")
@@ -46,4 +48,5 @@ def adjudicate(segments: DataFrame, lines: DataFrame, cues: DataFrame, bins: Dat
 
 
 def verdict_totals(spans: DataFrame) -> DataFrame:
+    """set_id, hyp_id, verdict, cue_sec, spans of adjudicate()'s rows."""
     return spans.groupBy("set_id", "hyp_id", "verdict").agg(F.sum("cue_sec").alias("cue_sec"), F.count("*").alias("spans"))

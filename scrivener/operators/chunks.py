@@ -26,7 +26,7 @@ def cut_points(total: float, silences: Iterable[float], longest: float = MAX_SEC
     while total > longest and (target := at + longest) < total:
         near = points[bisect.bisect_left(points, max(at + shortest, target - back)) : bisect.bisect_right(points, target + forward)]
         end = max(min(near, key=lambda p: abs(p - target), default=target), min(at + shortest, total))
-        if end <= at or total - end < shortest:
+        if end <= at or end >= total or total - end < shortest:
             break
         ends.append(end)
         at = end

@@ -25,36 +25,51 @@ class GoldenError(ValueError):
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """path, raw: each file as one text, without a byte order mark, lines ended by LF."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
-    return text.withColumn("raw", F.replace(F.regexp_replace("raw", "^﻿", ""), F.lit("\r\n"), F.lit("\n")))
+    return clean(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")))
+
+
+def clean(files: DataFrame) -> DataFrame:
+    """files (path, raw) without a byte order mark, lines ended by LF."""
+    return files.withColumn("raw", F.replace(F.regexp_replace("raw", "^﻿", ""), F.lit("\r\n"), F.lit("\n")))
 
 
 def _numbered_lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("raw", "\n")).alias("ord", "line"))
 
 
-def golden_raw(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(manifests: set_id, raw; lines: set_id, ord, raw) of the directories that path (a glob, too) names. set_id is the manifest's, or
-    else the directory."""
+def golden_raw(manifest_files: DataFrame, line_files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(manifests: set_id, raw; lines: set_id, ord, raw) of files (path, raw) that lie in one directory a set. set_id is the
+    manifest's, or else the directory."""
     where = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    manifests = whole_files(spark, f"{path}/manifest.json").select(where.alias("dir"), "raw")
+    manifests = manifest_files.select(where.alias("dir"), "raw")
     manifests = manifests.withColumn("set_id", F.coalesce(F.get_json_object("raw", "$.set_id"), "dir"))
-    lines = _numbered_lines(whole_files(spark, f"{path}/lines.jsonl")).select(where.alias("dir"), (F.col("ord") + 1).alias("ord"), F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")).alias("raw")).where("raw <> ''")
+    lines = _numbered_lines(line_files).select(where.alias("dir"), (F.col("ord") + 1).alias("ord"), F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")).alias("raw")).where("raw <> ''")
     return manifests.select("set_id", "raw"), lines.join(manifests.select("dir", "set_id"), "dir").select("set_id", "ord", "raw")
 
 
-def load_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(manifests, segments, lines), or GoldenError with the errors of every set, beyond 1000 with their number."""
-    manifests, lines = golden_raw(spark, path)
-    bad = manifest_errors(manifests).select("set_id", F.concat(F.lit("segment "), F.col("place")).alias("at"), "error").union(line_errors(lines, manifests).select("set_id", F.concat(F.lit("line "), F.col("ord")), "error"))
-    if found := bad.orderBy("set_id", "at", "error").limit(1000).collect():
-        more = [f"the first 1000 of {n} errors; all are in manifest_errors() and line_errors()"] if len(found) == 1000 and (n := bad.count()) > 1000 else []
-        raise GoldenError("\n".join([f"{x.set_id}, {x.at or 'manifest'}: {x.error}" for x in found] + more))
+def golden_errors(manifests: DataFrame, lines: DataFrame) -> DataFrame:
+    """set_id, place, error: every error of every set of golden_raw()."""
+    top = manifest_errors(manifests).select("set_id", F.coalesce(F.concat(F.lit("segment "), F.col("place")), F.lit("manifest")).alias("place"), "error")
+    return top.union(line_errors(lines, manifests).select("set_id", F.concat(F.lit("line "), F.col("ord")), "error"))
+
+
+def golden(manifest_files: DataFrame, line_files: DataFrame, shown: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifests, segments, lines), or GoldenError with the errors of every set. shown: list so many at most, and their number."""
+    manifests, lines = golden_raw(manifest_files, line_files)
+    bad = golden_errors(manifests, lines).orderBy("set_id", "place", "error")
+    if found := (bad if shown is None else bad.limit(shown)).collect():
+        more = [f"the first {shown} of {n} errors; all are in golden_errors()"] if len(found) == shown and (n := bad.count()) > shown else []
+        raise GoldenError("\n".join([f"{x.set_id}, {x.place}: {x.error}" for x in found] + more))
     m = manifests.select(F.from_json("raw", MANIFEST_SCHEMA).alias("m")).select("m.*")
     segments = m.select("set_id", F.explode("segments").alias("s")).select("set_id", F.col("s.id").alias("seg"), "s.t_start", "s.t_end", "s.reason", "s.clip", "s.post_edit")
     return m.drop("segments"), segments, lines.select("set_id", "ord", F.from_json("raw", LINE_SCHEMA).alias("l")).select("set_id", "ord", "l.*")
 
 
+def load_golden(spark: SparkSession, path: str, shown: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """golden() of the directories that path (a glob, too) names."""
+    return golden(whole_files(spark, f"{path}/manifest.json"), whole_files(spark, f"{path}/lines.jsonl"), shown)
+
+
 def json_cues(files: DataFrame) -> DataFrame:
     """path, ord, start, end, text: a list of cues, or an object with one under `segments`; cues without times are dropped."""
     item = "array<struct<start double, end double, text string>>"
@@ -96,17 +111,27 @@ def recap_cues(files: DataFrame) -> DataFrame:
     return out.select("path", "ord", "start", "end", "text", "speaker", F.lit(True).alias("end_estimated"))
 
 
-def load_hyp(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Cues of the files at path. fmt: json, srt or md; else by suffix, and JSON for any other."""
-    files = whole_files(spark, path)
+def hyp_cues(files: DataFrame, fmt: str | None = None) -> DataFrame:
+    """Cues of files (path, raw). fmt: json, srt or md; else by suffix, and JSON for any other."""
     suffix = F.lower(F.regexp_extract("path", r"\.(srt|md)$", 1))
     kind = F.lit(fmt) if fmt else F.when(suffix == "", "json").otherwise(suffix)
     files = files.withColumn("fmt", kind)
     return json_cues(files.where("fmt = 'json'")).unionByName(srt_cues(files.where("fmt = 'srt'"))).unionByName(recap_cues(files.where("fmt = 'md'")), allowMissingColumns=True)
 
 
+def load_hyp(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """hyp_cues() of the files at path."""
+    return hyp_cues(whole_files(spark, path), fmt)
+
+
+def vocab(files: DataFrame) -> DataFrame:
+    """path, term: the lines of files (path, raw), without white space at their ends; blank ones are skipped."""
+    return _numbered_lines(files).select("path", F.regexp_replace("line", r"^\s+|\s+$", "").alias("term")).where("term <> ''")
+
+
 def load_vocab(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("term")).where("term <> ''")
+    """term, of the file at path."""
+    return vocab(whole_files(spark, path)).select("term")
 
 
 def level_bins(logs: DataFrame) -> DataFrame:

@@ -27,15 +27,16 @@ def versions(spark: SparkSession, root: str) -> list[str]:
     return sorted(n for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS")))
 
 
-def save(lines: DataFrame, root: str, manifests: DataFrame | None = None, keep: int = KEEP) -> list[str]:
-    """Writes lines (set_id, ord, raw) as a new version unless they are empty or break their schema; returns the errors.
+def save(lines: DataFrame, root: str, manifests: DataFrame | None = None, keep: int = KEEP, shown: int | None = None) -> list[str]:
+    """Writes lines (set_id, ord, raw) as a new version unless they are empty or break their schema; returns the errors, all of them
+    or the first `shown` and their number.
 
     A version counts once its _SUCCESS file is there, so a reader never sees half of one. One writer at a time."""
     if lines.isEmpty():
         return ["an empty list is not written"]
-    errors = line_errors(lines, manifests)
-    if bad := [f"{x.set_id}, line {x.ord}: {x.error}" for x in errors.orderBy("set_id", "ord", "error").limit(1000).collect()]:
-        return bad + ([f"the first 1000 of {n} errors; all are in line_errors()"] if len(bad) == 1000 and (n := errors.count()) > 1000 else [])
+    errors = line_errors(lines, manifests).orderBy("set_id", "ord", "error")
+    if bad := [f"{x.set_id}, line {x.ord}: {x.error}" for x in (errors if shown is None else errors.limit(shown)).collect()]:
+        return bad + ([f"the first {shown} of {n} errors; all are in line_errors()"] if len(bad) == shown and (n := errors.count()) > shown else [])
     spark = lines.sparkSession
     lines.write.parquet(f"{root}/v={time.time_ns():020d}")
     fs, _ = _fs(spark, root)
@@ -49,7 +50,12 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     there = versions(spark, root)
     if not there:
         return spark.createDataFrame([], "set_id string, ord int, raw string")
-    return spark.read.parquet(f"{root}/{there[-1]}").where(~F.coalesce(F.get_json_object("raw", "$.zh"), F.lit("")).contains(EXAMPLE))
+    return without_examples(spark.read.parquet(f"{root}/{there[-1]}"))
+
+
+def without_examples(lines: DataFrame) -> DataFrame:
+    """lines (raw JSON) but those whose text is marked as an example."""
+    return lines.where(~F.coalesce(F.get_json_object("raw", "$.zh"), F.lit("")).contains(EXAMPLE))
 
 
 def next_ids(lines: DataFrame) -> DataFrame:

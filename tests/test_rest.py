@@ -68,6 +68,7 @@ def test_islands_equal_the_fold(spark):
 def test_cut_plan_examples(spark):
     assert chunks.cut_points(300, [58, 97, 112], 100, 45, 15, 10)[0] == 97
     assert chunks.cut_points(3, [], 1, 0, 0, 2) == [3.0] and chunks.cut_points(50, [20], 100) == [50.0]
+    assert chunks.cut_points(2.0, [2.0], 1.0, 0.0, 1.0, 0.0) == [2.0]  # a cut at the very end is the end
     for bad in (math.nan, math.inf, -1.0, 0.0):
         with pytest.raises(ValueError):
             chunks.cut_points(bad, [])
@@ -191,13 +192,47 @@ def test_streamed_levels(spark, tmp_path):
     assert sorted((x.bins, round(x.rms_db)) for x in spark.table("levels").collect()) == [(60, -20)] * 3
 
 
-def test_errors_beyond_the_first_thousand_are_counted(spark, tmp_path):
-    from scrivener.sources import readers, store
-
+def test_every_error_is_listed_or_counted(spark, tmp_path):
     (tmp_path / "set").mkdir()
     (tmp_path / "set" / "manifest.json").write_text("{}")
     (tmp_path / "set" / "lines.jsonl").write_text("[\n" * 1500)
-    with pytest.raises(readers.GoldenError, match="the first 1000 of [0-9]+ errors"):
+    with pytest.raises(readers.GoldenError, match="the first 1000 of 1505 errors"):
+        readers.load_golden(spark, str(tmp_path / "set"), shown=1000)
+    with pytest.raises(readers.GoldenError) as e:
         readers.load_golden(spark, str(tmp_path / "set"))
+    assert str(e.value).count("malformed JSON") == 1500 and str(e.value).count("manifest: missing") == 5
     lines = spark.createDataFrame([("s", i, "[") for i in range(1500)], "set_id string, ord int, raw string")
-    assert "the first 1000 of " in store.save(lines, str(tmp_path / "store"))[-1]
+    assert "the first 1000 of 1500 " in store.save(lines, str(tmp_path / "store"), shown=1000)[-1]
+    assert len(store.save(lines, str(tmp_path / "store"))) == 1500
+
+
+def test_vocabulary_and_shifted_cues(spark, tmp_path):
+    (tmp_path / "terms.txt").write_text("﻿ MX-K \r\n\n\t204-D\n   \n", encoding="utf-8")
+    assert [x.term for x in readers.load_vocab(spark, str(tmp_path / "terms.txt")).collect()] == ["MX-K", "204-D"]
+    moved = chunks.shifted(spark.createDataFrame([(1.0, 2.0, 100.0)], "start double, end double, start_offset double")).first()
+    assert (moved.start, moved.end) == (101.0, 102.0)
+
+
+def test_source_tree(spark, tmp_path):
+    for name, text in (("a.py", "import os\nos.popen(1)\nos.popen(2)\n"), ("pkg/b.py", "x = 1\n"), ("pkg/c.txt", "os.popen(1)"), (".git/d.py", "import os\nos.popen(1)\n"), ("pkg/node_modules/e.py", "import os\nos.popen(1)\n"), ("pkg/f.py", "def (\n")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    files = readers.source_files(spark, str(tmp_path))
+    assert sorted(x.path.rpartition("/")[2] for x in files.collect()) == ["a.py", "b.py", "f.py"]
+    found = lint.lint(files)
+    assert [(x.path.rpartition("/")[2], x.violations) for x in lint.lint_counts(found).collect()] == [("a.py", 2)]
+    assert [x.path.rpartition("/")[2] for x in found.where("error is not null").collect()] == ["f.py"]
+
+
+def test_adjudication_end_to_end(spark):
+    """Two unmatched cues that merge over silence, one over speech, and a short one that can't be judged."""
+    segments = spark.createDataFrame([("T", "S1", 0.0, 60.0, "x")], "set_id string, seg string, t_start double, t_end double, reason string")
+    lines = spark.createDataFrame([("T", "S1", "L1", 1, 20.0, 24.0)], "set_id string, seg string, id string, ord int, t_start double, t_end double")
+    cues = [(0, 1.0, 3.0, "好，"), (1, 3.25, 5.0, "a"), (2, 20.0, 24.0, "matched"), (3, 30.0, 34.0, "b"), (4, 50.0, 51.0, "c")]
+    table = spark.createDataFrame([("T", "h", *x) for x in cues], "set_id string, hyp_id string, ord int, start double, end double, text string")
+    bins = spark.createDataFrame([("T", i, -20.0 if 120 <= i < 130 else -80.0, 0.0) for i in range(240)], "rec string, bin_idx long, rms_db double, peak_db double")
+    rows = adjudicate.adjudicate(segments, lines, table, bins, levels.floors(bins))
+    got = [(x.start, x.end, x.cue_sec, x.span_sec, x.n_cues, x.text, x.n_bins, x.verdict) for x in rows.orderBy("start").collect()]
+    assert got == [(1.0, 5.0, 3.75, 4.0, 2, "好A", 16, "true_hallucination"), (30.0, 34.0, 4.0, 4.0, 1, "B", 16, "untranscribed_speech"), (50.0, 51.0, 1.0, 1.0, 1, "C", 4, "undecidable")]
+    totals = {x.verdict: (x.cue_sec, x.spans) for x in adjudicate.verdict_totals(rows).collect()}
+    assert totals == {"true_hallucination": (3.75, 1), "untranscribed_speech": (4.0, 1), "undecidable": (1.0, 1)}
