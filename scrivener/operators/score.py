@@ -6,6 +6,7 @@ models), cues (set_id, hyp_id, ord, start, end, text, end_estimated). ord tells
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scrivener.functions.columns import ordered_text, overlap, ratio, reference_text
 from scrivener.functions.text import error_rate_of, find_terms_udf, marker_hits, normalized, rounded, substring_costs_udf, substring_distance_udf
-from scrivener.operators.intervals import touched, touching, untouched
+from scrivener.operators.intervals import touching, untouched
 
 COVERED, COARSE = 0.5, 4.0
 RUN, PART = ["set_id", "hyp_id"], ["set_id", "hyp_id", "seg"]
@@ -25,15 +26,21 @@ class Report(NamedTuple):
     per_line: DataFrame
 
 
-def retention(lines: DataFrame, cues: DataFrame, by: list[str]) -> DataFrame:
+def met(lines: DataFrame, cues: DataFrame) -> DataFrame:
+    """Pairs of a line and a cue that touch: set_id, seg, line_ord, lang, t_start, t_end, hyp_id, ord, start, end, norm and, where lines
+    has it, _zh."""
+    own = [c for c in ("_zh",) if c in lines.columns]
+    return touching(lines.select("set_id", "seg", F.col("ord").alias("line_ord"), "lang", "t_start", "t_end", *own), cues.select(*RUN, "ord", "start", "end", "norm"), ["set_id"])
+
+
+def retention(lines: DataFrame, cues: DataFrame, by: list[str], hyps: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Dialect markers per 10 000 characters of the cues that touch a dialect line, each cue once; by: grouping of the lines.
 
-    cues need column norm. Rows exist for every group of lines and every hyp_id of cues with that set_id."""
-    hyps = cues.select(*RUN).distinct()
-    nan = lines.where("lang = 'nan'")
+    cues need column norm. Rows exist for every group of lines and every hypothesis of its set: of hyps (set_id, hyp_id), or of cues.
+    pairs: of met(), where it is there already."""
+    hyps = cues.select(*RUN).distinct() if hyps is None else hyps.select(*RUN)
     total = lines.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("lang") == "nan", F.col("t_end") - F.col("t_start"))), F.lit(0.0)).alias("sec"))
-    spans = nan.select(*by, "t_start", "t_end")
-    hit = touching(spans, cues.select(*RUN, "ord", "start", "end", "norm"), ["set_id"]).select(*by, "hyp_id", "ord", "start", "norm").distinct()
+    hit = (met(lines, cues) if pairs is None else pairs).where("lang = 'nan'").select(*by, "hyp_id", "ord", "start", "norm").distinct()
     text = hit.groupBy(*by, "hyp_id").agg(ordered_text(["start", "ord"], "norm").alias("text"))
     rows = total.join(hyps, "set_id").join(text, [*by, "hyp_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("hits", marker_hits(F.col("text"))).withColumn("chars", F.length("text").cast("long"))
@@ -46,14 +53,16 @@ def hallucinated(segments: DataFrame, lines: DataFrame, cues: DataFrame) -> Data
     return untouched(lines.select("set_id", "seg", "t_start", "t_end"), inside, ["set_id", "seg"], [*PART, "ord"])
 
 
-def score(segments: DataFrame, lines: DataFrame, cues: DataFrame, hyps: DataFrame | None = None, vocab: DataFrame | None = None, drop_fillers: bool = False) -> Report:
+def score(segments: DataFrame, lines: DataFrame, cues: DataFrame, hyps: DataFrame | None = None, vocab: DataFrame | None = None, drop_fillers: bool = False, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Report:
     """hyps (set_id, hyp_id, asr_sec?, duration_sec?) names the hypotheses, those without cues included; by default those of cues.
-    vocab (set_id, term): by default the terms of the set's lines."""
+    vocab (set_id, term): by default the terms of the set's lines. keep is applied to the normalised lines and cues, to the pairs of both
+    that touch and to the table of segments, which are read several times: DataFrame.persist, say, or a function that writes and rereads
+    them."""
     hyps = hyps if hyps is not None else cues.select(*RUN).distinct()
     timed = [c for c in ("asr_sec", "duration_sec") if c in hyps.columns]
     lines = lines.withColumn("_zh", normalized(reference_text("zh"), drop_fillers)).withColumn("_nat", normalized(reference_text("native"), drop_fillers))
     cues = cues.withColumn("norm", normalized("text", drop_fillers)).withColumn("end_estimated", F.coalesce("end_estimated", F.lit(False)))
-    lines = lines.join(segments.select("set_id", "seg"), ["set_id", "seg"], "left_semi")
+    lines, cues = keep(lines.join(segments.select("set_id", "seg"), ["set_id", "seg"], "left_semi")), keep(cues)
     dur = F.col("t_end") - F.col("t_start")
     grid = segments.join(hyps.select(*RUN), "set_id")
 
@@ -62,21 +71,21 @@ def score(segments: DataFrame, lines: DataFrame, cues: DataFrame, hyps: DataFram
         F.median(dur).alias("_med_line"), F.sum(dur).alias("gold_sec"), F.bool_or(F.trim(F.coalesce("native", F.lit(""))) != "").alias("has_native"),
     )
     window = touching(segments.select("set_id", "seg", F.col("t_start").alias("w0"), F.col("t_end").alias("w1")), cues.select(*RUN, "ord", "start", "end", "norm", "end_estimated"), ["set_id"], span=("w0", "w1"))
+    pairs = keep(met(lines, cues))
+    window = window.join(pairs.select(*PART, "ord").distinct().withColumn("_met", F.lit(True)), [*PART, "ord"], "left")
     inside = overlap(F.col("start"), F.col("end"), F.col("w0"), F.col("w1"))
     heard = window.groupBy(*PART).agg(
         ordered_text(["start", "ord"], "norm").alias("hyp_txt"), F.count("*").alias("hyp_segments"), F.median(F.when(F.col("end") > F.col("start"), F.col("end") - F.col("start"))).alias("_med_cue"),
-        F.bool_or("end_estimated").alias("_estimated"), F.sum(inside).alias("hyp_sec"),
+        F.bool_or("end_estimated").alias("_estimated"), F.sum(inside).alias("hyp_sec"), F.sum(F.when(F.col("_met").isNull(), inside)).alias("halluc_sec"),
     )
-    lost = untouched(lines.select("set_id", "seg", "t_start", "t_end"), window, ["set_id", "seg"], [*PART, "ord"]).groupBy(*PART).agg(F.sum(inside).alias("halluc_sec"))
-
-    near = touching(lines.select("set_id", "seg", "id", F.col("ord").alias("line_ord"), "t_start", "t_end", "_zh"), cues.select(*RUN, "ord", "start", "end", "norm"), ["set_id"])
-    near = near.groupBy(*PART, "line_ord").agg(ordered_text(["start", "ord"], "norm").alias("text"), F.first("_zh").alias("_zh"), F.first(dur).alias("dur"))
+    near = pairs.groupBy(*PART, "line_ord").agg(ordered_text(["start", "ord"], "norm").alias("text"), F.first("_zh").alias("_zh"), F.first(dur).alias("dur"))
     covered = near.where(error_rate_of(F.col("_zh"), F.col("text")) <= COVERED).groupBy(*PART).agg(F.sum("dur").alias("cov_sec"))
 
     terms = lines.select("set_id", "seg", F.explode("models").alias("term")).withColumn("term", normalized("term"))
     wanted = (vocab.withColumn("term", normalized("term")) if vocab is not None else terms).groupBy("set_id").agg(F.collect_set("term").alias("vocab"))
+    spoken = terms.groupBy("set_id", "seg", "term").agg(F.count("*").alias("r")).groupBy("set_id", "seg").agg(F.map_from_entries(F.collect_list(F.struct("term", "r"))).alias("_spoken"))
     zero = F.lit(0).cast("long")
-    table = grid.join(refs, ["set_id", "seg"], "left").join(heard, PART, "left").join(lost, PART, "left").join(covered, PART, "left").join(wanted, "set_id", "left")
+    table = grid.join(refs, ["set_id", "seg"], "left").join(spoken, ["set_id", "seg"], "left").join(heard, PART, "left").join(covered, PART, "left").join(wanted, "set_id", "left")
     for c in ("ref_zh", "ref_nat", "hyp_txt"):
         table = table.withColumn(c, F.coalesce(c, F.lit("")))
     for c in ("lines", "hyp_segments"):
@@ -87,19 +96,18 @@ def score(segments: DataFrame, lines: DataFrame, cues: DataFrame, hyps: DataFram
     table = table.withColumn("_costs", substring_costs_udf("ref_zh", "hyp_txt")).withColumn("dist_zh", F.aggregate("_costs", F.lit(0), lambda a, x: a + x))
     table = table.withColumn("_dist_nat", substring_distance_udf("ref_nat", "hyp_txt")).withColumn("_found", find_terms_udf("hyp_txt", "vocab"))
 
-    ref_terms = terms.groupBy("set_id", "seg", "term").agg(F.count("*").alias("r")).join(hyps.select(*RUN), "set_id")
-    hyp_terms = table.select(*PART, F.explode("_found").alias("term", "h"))
-    counts = ref_terms.join(hyp_terms, [*PART, "term"], "full_outer").select(*PART, F.coalesce("r", zero).alias("r"), F.coalesce("h", zero).alias("h"))
-    counts = counts.groupBy(*PART).agg(F.sum(F.least("r", "h")).alias("tp"), F.sum(F.greatest(zero, F.col("h") - F.col("r"))).alias("fp"), F.sum(F.greatest(zero, F.col("r") - F.col("h"))).alias("fn"))
-    table = table.join(counts, PART, "left")
-    for c in ("tp", "fp", "fn"):
-        table = table.withColumn(c, F.coalesce(c, zero))
-    dialect = retention(lines, cues, ["set_id", "seg"])
+    table = table.withColumn("_spoken", F.coalesce("_spoken", F.expr("map()").cast("map<string,bigint>"))).withColumn("_found", F.coalesce("_found", F.expr("map()").cast("map<string,int>")))
+    r, h = (lambda x: F.coalesce(F.try_element_at("_spoken", x), zero)), (lambda x: F.coalesce(F.try_element_at("_found", x).cast("long"), zero))
+    either = F.array_union(F.map_keys("_spoken"), F.map_keys("_found"))
+    for c, own in (("tp", lambda x: F.least(r(x), h(x))), ("fp", lambda x: F.greatest(zero, h(x) - r(x))), ("fn", lambda x: F.greatest(zero, r(x) - h(x)))):
+        table = table.withColumn(c, F.aggregate(F.transform(either, own), zero, lambda a, x: a + x))
+    dialect = retention(lines, cues, ["set_id", "seg"], hyps, pairs)
     table = table.join(dialect, PART, "left")
 
     coarse = (F.coalesce("_med_line", F.lit(0.0)) != 0) & (F.coalesce("_med_cue", F.lit(0.0)) > F.col("_med_line") * COARSE)
     table = table.withColumn("_coarse", F.coalesce(coarse, F.lit(False))).withColumn("judgeable", (F.col("hyp_sec") > 0) & ~F.col("_coarse") & ~F.col("_estimated"))
     table = table.withColumn("ref_chars", F.length("ref_zh").cast("long")).withColumn("hyp_chars", F.length("hyp_txt").cast("long")).withColumn("_nat_chars", F.length("ref_nat").cast("long"))
+    table = keep(table)
     cer = error_rate_of(F.col("ref_zh"), F.col("hyp_txt"), F.col("dist_zh"))
     cer_nat = error_rate_of(F.col("ref_nat"), F.col("hyp_txt"), F.col("_dist_nat"))
     dialect_columns = lambda t: [F.col("taigi_retention_per10k"), F.coalesce("taigi_hits", zero).alias("taigi_hits"), F.coalesce("taigi_hyp_chars", zero).alias("taigi_hyp_chars"), rounded(F.coalesce("_taigi_sec", F.lit(0.0)), 1).alias("taigi_sec")]
@@ -113,9 +121,10 @@ def score(segments: DataFrame, lines: DataFrame, cues: DataFrame, hyps: DataFram
 
     place = Window.partitionBy("set_id", "seg").orderBy("t_start", "ord")
     spans = lines.withColumn("_from", F.coalesce(F.sum(F.length("_zh")).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    costs = spans.join(table.select(*PART, "_costs"), ["set_id", "seg"])
-    length = F.length("_zh")
-    per_line = costs.select(*PART, "id", "lang", "spk", length.alias("ref_len"), F.aggregate(F.slice("_costs", (F.col("_from") + 1).cast("int"), length), F.lit(0), lambda a, x: a + x).alias("dist"), rounded(dur, 2).alias("sec"))
+    rows = spans.groupBy("set_id", "seg").agg(F.collect_list(F.struct("id", "lang", "spk", "_from", F.length("_zh").alias("ref_len"), dur.alias("sec"))).alias("_lines"))
+    charged = lambda x: F.aggregate(F.slice("_costs", (x["_from"] + 1).cast("int"), x["ref_len"]), F.lit(0), lambda a, c: a + c)
+    each = F.transform("_lines", lambda x: F.struct(x["id"], x["lang"], x["spk"], x["ref_len"], charged(x).alias("dist"), x["sec"]))
+    per_line = rows.join(table.select(*PART, "_costs"), ["set_id", "seg"]).select(*PART, F.explode(each).alias("x")).select(*PART, "x.id", "x.lang", "x.spk", "x.ref_len", "x.dist", rounded(F.col("x.sec"), 2).alias("sec"))
 
     judged = F.col("judgeable")
     total = table.groupBy(*RUN).agg(
@@ -124,7 +133,7 @@ def score(segments: DataFrame, lines: DataFrame, cues: DataFrame, hyps: DataFram
         F.sum("cov_sec").alias("cov"), F.sum("gold_sec").alias("golden_sec"), F.sum(F.when(judged, F.col("hyp_sec"))).alias("h"), F.sum(F.when(judged, F.col("halluc_sec"))).alias("x"), F.sum(judged.cast("long")).alias("hallucination_judged_segments"), F.count("*").alias("hallucination_total_segments"), F.bool_or("has_native").alias("nat"),
     )
     length_all = cues.groupBy(*RUN).agg(F.median(F.col("end") - F.col("start")).alias("_med"))
-    total = total.join(length_all, RUN, "left").join(retention(lines, cues, ["set_id"]), RUN, "left").join(hyps.select(*RUN, *timed), RUN)
+    total = total.join(length_all, RUN, "left").join(retention(lines, cues, ["set_id"], hyps, pairs), RUN, "left").join(hyps.select(*RUN, *timed), RUN)
     cer_all, cer_nat_all = F.coalesce(ratio(F.col("dist"), F.col("ref_chars")), F.lit(0.0)), F.coalesce(ratio(F.col("dist_nat"), F.col("nat_chars")), F.lit(0.0))
     overall = total.select(
         *RUN, cer_all.alias("cer_content"), ratio(F.col("hyp_chars"), F.col("ref_chars")).alias("verbosity"), "ref_chars", "hyp_chars", "ref_empty_segments", F.when(F.col("nat"), cer_nat_all).alias("cer_native"), F.when(F.col("nat"), cer_nat_all - cer_all).alias("taigi_flatten_gap"),

@@ -2,39 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.functions.columns import mean_db, ordered_text, overlap, ratio
+from scrivener.functions.columns import mean_db, ordered_text, overlap, ratio, verdict
 from scrivener.functions.text import find_terms_udf, marker_hits, normalized
-from scrivener.operators import adjudicate, chunks, intervals, levels, lint, validate
-from scrivener.operators.score import hallucinated, score
-from scrivener.plans import frames
+from scrivener.operators import adjudicate, intervals, levels
+from scrivener.operators.score import hallucinated
+from scrivener.plans import files, frames, scores  # noqa: F401
 from scrivener.plans.frames import BINS, BUCKET, SQL, normal_sql
-from scrivener.sources import readers, store
+from scrivener.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from scrivener.sources import store
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 WINDOW_BINS, WINDOW_SEC = 24, 6.0
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _windowed(spark: SparkSession, d: str) -> DataFrame:
     spans = frames.segments(spark, d).select("set_id", "seg", F.col("t_start").alias("w0"), F.col("t_end").alias("w1"))
     return intervals.touching(spans, frames.cues(spark, d), ["set_id"], span=("w0", "w1"), bucket=BUCKET)
 
 
+def _in_seconds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(segments, lines, cues)"""
+    sec = lambda df, *names: df.select(*[(F.col(x) / 1000.0).alias(x) if x in names else F.col(x) for x in df.columns])
+    return sec(frames.segments(spark, d), "t_start", "t_end"), sec(frames.lines(spark, d), "t_start", "t_end"), sec(frames.cues(spark, d), "start", "end")
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return intervals.touching(frames.lines(spark, d).drop("ord"), frames.cues(spark, d), ["set_id"], bucket=BUCKET)
 
@@ -85,39 +78,6 @@ def q_levenshtein(spark, d):
     return frames.table(spark, d, "part").select("p_partkey", F.levenshtein("p_type", "p_brand").cast("long").alias("distance"))
 
 
-@query(f"""WITH {SQL}, x AS (SELECT *, greatest(0, least("end", w1) - greatest(start, w0)) AS ms, NOT EXISTS (SELECT 1 FROM pairs p WHERE p.set_id = w.set_id AND p.seg = w.seg AND p.ord = w.ord) AS lost FROM win w),
-h AS (SELECT set_id, seg, sum(ms)::BIGINT AS heard_ms, coalesce(sum(ms) FILTER (lost), 0)::BIGINT AS lost_ms, median("end" - start) FILTER ("end" > start) AS cue FROM x GROUP BY ALL),
-l AS (SELECT set_id, seg, median(t_end - t_start) AS line FROM lines GROUP BY ALL)
-SELECT s.set_id, s.seg, coalesce(heard_ms, 0) AS heard_ms, coalesce(lost_ms, 0) AS lost_ms,
-       CASE WHEN coalesce(line, 0) <> 0 AND coalesce(cue, 0) > line * 4 THEN 'cue_too_coarse' WHEN coalesce(heard_ms, 0) = 0 THEN 'no_hyp_in_window' END AS blocked_by
-FROM segments s LEFT JOIN h USING (set_id, seg) LEFT JOIN l USING (set_id, seg)""")
-def q_hallucination(spark, d):
-    """Unmatched time of each window, and why none is given."""
-    r = _windowed(spark, d)
-    inside = overlap(F.col("start"), F.col("end"), F.col("w0"), F.col("w1")).cast("long")
-    key = ["set_id", "seg"]
-    lost = intervals.untouched(frames.lines(spark, d), r, key, [*key, "ord"], bucket=BUCKET).groupBy(*key).agg(F.sum(inside).alias("lost_ms"))
-    heard = r.groupBy(*key).agg(F.sum(inside).alias("heard_ms"), F.median(F.when(F.col("end") > F.col("start"), F.col("end") - F.col("start"))).alias("cue"))
-    line = frames.lines(spark, d).groupBy(*key).agg(F.median(F.col("t_end") - F.col("t_start")).alias("line"))
-    rows = frames.segments(spark, d).select(*key).join(heard, key, "left").join(lost, key, "left").join(line, key, "left").fillna(0)
-    why = F.when((F.col("line") != 0) & (F.col("cue") > F.col("line") * 4), "cue_too_coarse").when(F.col("heard_ms") == 0, "no_hyp_in_window")
-    return rows.select(*key, "heard_ms", "lost_ms", why.alias("blocked_by"))
-
-
-@query(f"""WITH {SQL}, r AS (SELECT set_id, seg, model AS w, count(*) AS r FROM lines GROUP BY ALL),
-g AS (SELECT set_id, seg, upper(replace(split_part(text, ' ', 1), 'ß', 'ss')) AS w, count(*) AS h FROM win GROUP BY ALL)
-SELECT set_id, seg, sum(least(coalesce(r, 0), coalesce(h, 0)))::BIGINT AS tp, sum(greatest(0, coalesce(h, 0) - coalesce(r, 0)))::BIGINT AS fp, sum(greatest(0, coalesce(r, 0) - coalesce(h, 0)))::BIGINT AS fn
-FROM r FULL JOIN g USING (set_id, seg, w) GROUP BY ALL""")
-def q_multiset_counts(spark, d):
-    """The multiset difference of first words of lines and of cues, over the union of keys."""
-    key = ["set_id", "seg", "w"]
-    ref = frames.lines(spark, d).select("set_id", "seg", F.explode("models").alias("w")).groupBy(*key).agg(F.count("*").alias("r"))
-    hyp = _windowed(spark, d).select("set_id", "seg", F.upper(F.substring_index("text", " ", 1)).alias("w")).groupBy(*key).agg(F.count("*").alias("h"))
-    both = ref.join(hyp, key, "full_outer").fillna(0)
-    zero = F.lit(0).cast("long")
-    return both.groupBy("set_id", "seg").agg(F.sum(F.least("r", "h")).alias("tp"), F.sum(F.greatest(zero, F.col("h") - F.col("r"))).alias("fp"), F.sum(F.greatest(zero, F.col("r") - F.col("h"))).alias("fn"))
-
-
 @query("SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) // 3 + (length(text) - length(replace(text, 'tion', ''))) // 4)::BIGINT AS hits, length(text)::BIGINT AS chars FROM documents")
 def q_marker_hits(spark, d):
     """A10: occurrences of markers."""
@@ -160,8 +120,6 @@ m AS (SELECT s.rec, k, count(*) AS n_bins, count(*) FILTER (rms_db > floor_db +
 SELECT rec, k, n_bins, CASE WHEN n_bins < 12 THEN 'undecidable' WHEN hot / n_bins < 0.15 THEN 'true_hallucination' ELSE 'untranscribed_speech' END AS verdict FROM m""")
 def q_density_verdict(spark, d):
     """The speech density of spans of 3.1 s in every 5 s, and the verdict."""
-    from scrivener.functions.columns import verdict
-
     b = frames.bins(spark, d)
     spans = b.select("rec", F.floor(F.col("bin_idx") / 20).alias("k")).distinct().withColumn("start", F.col("k") * 5.0).withColumn("end", F.col("k") * 5.0 + 3.1)
     return levels.speech_density(spans, b, levels.floors(b), ["k"]).select("rec", "k", "n_bins", verdict(F.col("density")).alias("verdict"))
@@ -175,163 +133,104 @@ def q_islands(spark, d):
     """Cues merged over pauses of at most 15 s that hold no dialect line."""
     spans = frames.cues(spark, d).where("role <> 'user'").withColumn("seg", F.lit("all"))
     occupied = frames.lines(spark, d).where("lang = 'nan'").select("set_id", F.col("t_start").alias("lo"), F.col("t_end").alias("hi"))
-    runs = adjudicate.merged(spans, occupied, ["set_id"], ["seg"], gap=15_000)
+    runs = adjudicate.merged(spans, occupied, ["set_id"], ["seg"], gap=15_000, bucket=BUCKET)
     return runs.select("set_id", F.col("island").cast("long").alias("island"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_cues", F.col("cue_sec").cast("long").alias("cue_ms"))
 
 
-@query(f"WITH {SQL} SELECT set_id, ord, start, greatest(start, lead(start) OVER (PARTITION BY set_id ORDER BY ord)) AS next_start FROM cues")
-def q_lead_end(spark, d):
-    """The next cue's start as end."""
-    nxt = F.lead("start").over(Window.partitionBy("set_id").orderBy("ord"))
-    return frames.cues(spark, d).select("set_id", "ord", "start", F.greatest("start", nxt).alias("next_start"))
-
-
-@query(f"WITH {SQL} SELECT set_id, seg, id, coalesce(sum(length(zh)) OVER (PARTITION BY set_id, seg ORDER BY t_start, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins, length(zh)::BIGINT AS n FROM lines")
-def q_prefix_spans(spark, d):
-    """Where each line begins in its segment's text."""
-    w = Window.partitionBy("set_id", "seg").orderBy("t_start", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    lines = frames.lines(spark, d).join(frames.segments(spark, d).select("set_id", "seg"), ["set_id", "seg"])
-    return lines.select("set_id", "seg", "id", F.coalesce(F.sum(F.length("zh")).over(w), F.lit(0)).cast("long").alias("begins"), F.length("zh").cast("long").alias("n"))
-
-
-ORACLE_SQL["q_prefix_spans"] = ORACLE_SQL["q_prefix_spans"].replace("FROM lines", "FROM (SELECT l.* FROM lines l JOIN segments USING (set_id, seg))")
-
-
-def _raw_lines(spark, d):
-    """Lines as JSON, some broken on purpose: every fifth without a language, every seventh with a wrong end, every ninth with its
-    neighbour's id."""
-    t = frames.lines(spark, d)
-    ident = F.when(F.col("ord") % 9 == 0, "L0").otherwise(F.col("id"))
-    end = F.when(F.col("ord") % 7 == 1, F.col("t_start")).otherwise(F.col("t_end"))
-    lang = F.when(F.col("ord") % 5 != 0, F.col("lang"))
-    raw = F.to_json(F.struct(ident.alias("id"), "seg", "t_start", end.alias("t_end"), "spk", lang.alias("lang"), F.col("zh").alias("zh")), {"ignoreNullFields": "true"})
-    return t.select(F.col("set_id").cast("string").alias("set_id"), "ord", raw.alias("raw"))
-
-
-@query(f"""WITH {SQL}, x AS (SELECT set_id::VARCHAR AS set_id, ord, CASE WHEN ord % 9 = 0 THEN 'L0' ELSE id END AS id, CASE WHEN ord % 5 <> 0 THEN lang END AS lang, ord % 7 = 1 AS wrong, zh FROM lines)
-SELECT set_id, ord, 'missing lang' AS error FROM x WHERE lang IS NULL UNION ALL SELECT set_id, ord, 'unknown lang' FROM x WHERE lang IS NULL
-UNION ALL SELECT set_id, ord, 't_end is not after t_start' FROM x WHERE wrong UNION ALL SELECT set_id, ord, 'zh is empty' FROM x WHERE trim(zh) = ''
-UNION ALL SELECT set_id, ord, 'id is repeated' FROM (SELECT *, row_number() OVER (PARTITION BY set_id, id ORDER BY ord) AS n FROM x) WHERE n > 1""")
-def q_validate_errors(spark, d):
-    """Validation of raw lines: every error of every line."""
-    return validate.line_errors(_raw_lines(spark, d))
-
-
-@query(f"WITH {SQL} SELECT set_id, ord FROM (SELECT set_id, ord, row_number() OVER (PARTITION BY set_id, model ORDER BY ord) AS n FROM lines) WHERE n > 1")
-def q_duplicates(spark, d):
-    """The second and later occurrences of a key."""
-    n = F.row_number().over(Window.partitionBy("set_id", F.element_at("models", 1)).orderBy("ord"))
-    return frames.lines(spark, d).withColumn("n", n).where("n > 1").select("set_id", "ord")
-
-
 @query(f"""WITH {SQL} SELECT set_id, seg, seg || '-' || lpad((max(ord) + 1)::VARCHAR, 3, '0') AS next_id FROM lines GROUP BY set_id, seg""")
 def q_next_ids(spark, d):
     """The next id of each segment."""
     return store.next_ids(frames.lines(spark, d))
 
 
-@query(f"""WITH {SQL}, t AS (SELECT set_id, ord, start, "end", text FROM cues)
-SELECT set_id, count(*) AS cues, sum(start)::BIGINT AS starts, sum("end")::BIGINT AS ends, sum(length(text))::BIGINT AS chars FROM t GROUP BY ALL""")
-def q_srt_parse(spark, d):
-    """Conversations written as SRT and read back."""
-    c = frames.cues(spark, d)
-    stamp = lambda ms: F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3600000), F.floor(ms % 3600000 / 60000), F.floor(ms % 60000 / 1000), ms % 1000)
-    block = F.concat((F.col("ord") + 1).cast("string"), F.lit("\n"), stamp(F.col("start")), F.lit(" --> "), stamp(F.col("end")), F.lit("\n"), F.regexp_replace("text", r"\s", "_"), F.lit("\n"))
-    files = c.groupBy("set_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", block.alias("b")))), lambda x: x["b"]), "\n").alias("raw")).withColumn("path", F.col("set_id"))
-    ms = lambda x: F.rint(F.col(x) * 1000).cast("long")
-    return readers.srt_cues(files).groupBy(F.col("path").alias("set_id")).agg(F.count("*").alias("cues"), F.sum(ms("start")).alias("starts"), F.sum(ms("end")).alias("ends"), F.sum(F.length("text")).alias("chars"))
+@query(f"""WITH {SQL} SELECT set_id, seg, ord, start FROM win w WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.set_id = w.set_id AND p.seg = w.seg AND p.ord = w.ord)""")
+def q_hallucinated(spark, d):
+    """J4 as the scorer uses it, in seconds."""
+    out = hallucinated(*_in_seconds(spark, d))
+    return out.select("set_id", "seg", "ord", F.rint(F.col("start") * 1000).cast("long").alias("start"))
 
 
-def _report(spark, d):
-    s, l, c = frames.segments(spark, d), frames.lines(spark, d), frames.cues(spark, d)
-    sec = lambda df, *names: df.select(*[(F.col(x) / 1000.0).alias(x) if x in names else F.col(x) for x in df.columns])
-    return score(sec(s, "t_start", "t_end"), sec(l, "t_start", "t_end"), sec(c, "start", "end").drop("role"))
+@query(f"WITH {BINS} SELECT rec, round(10 * log10(avg(pow(10.0, rms_db / 10))), 4) AS mean_db, round(median(rms_db), 6) AS median_db, count(*) AS bins FROM bins GROUP BY rec")
+def q_mean_level(spark, d):
+    """A2, A4: mean power and median of each recording."""
+    return frames.bins(spark, d).groupBy("rec").agg(F.round(mean_db(F.col("rms_db")), 4).alias("mean_db"), F.round(F.median("rms_db"), 6).alias("median_db"), F.count("*").alias("bins"))
 
 
-@query()
-def q_overall(spark, d):
-    """Scores of each conversation."""
-    return _report(spark, d).overall
+@query(f"WITH {SQL} SELECT set_id, sum(\"end\" - start)::BIGINT AS ms, count(*) FILTER (role = 'user') / nullif(count(*) FILTER (role <> 'user'), 0) AS share FROM cues GROUP BY ALL")
+def q_ratio(spark, d):
+    """Ratios that are NULL where nothing divides."""
+    c = frames.cues(spark, d).groupBy("set_id").agg(F.sum(F.col("end") - F.col("start")).alias("ms"), F.count(F.when(F.col("role") == "user", 1)).alias("u"), F.count(F.when(F.col("role") != "user", 1)).alias("o"))
+    return c.select("set_id", "ms", ratio(F.col("u"), F.col("o")).alias("share"))
 
 
-@query()
-def q_by_segment(spark, d):
-    return _report(spark, d).by_segment
+ADJUDICATED = f"""WITH {SQL}, bins AS (SELECT set_id, bin_idx, CASE WHEN bin_idx // 16 % 3 = 0 THEN -20.0::DOUBLE ELSE -60.0::DOUBLE - bin_idx % 5 END AS rms_db FROM (SELECT set_id, unnest(range(0, max("end") // 250 + 1)) AS bin_idx FROM cues GROUP BY set_id)),
+floors AS (SELECT set_id, quantile_cont(rms_db, 0.1) AS floor_db FROM bins GROUP BY set_id),
+lost AS (SELECT set_id, seg, ord, text, start / 1000.0::DOUBLE AS s, "end" / 1000.0::DOUBLE AS e FROM win w WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.set_id = w.set_id AND p.seg = w.seg AND p.ord = w.ord)),
+m AS (SELECT *, max(e) OVER (PARTITION BY set_id, seg ORDER BY s, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx FROM lost),
+n AS (SELECT *, CASE WHEN mx IS NULL OR s - mx > 0.5 OR EXISTS (SELECT 1 FROM lines l WHERE l.set_id = m.set_id AND l.t_end / 1000.0::DOUBLE > mx AND l.t_start / 1000.0::DOUBLE < s) THEN 1 ELSE 0 END AS new FROM m),
+i AS (SELECT *, sum(new) OVER (PARTITION BY set_id, seg ORDER BY s, ord ROWS UNBOUNDED PRECEDING) AS island FROM n),
+r AS (SELECT set_id, seg, island, min(s) AS start, max(e) AS "end", string_agg(text, '' ORDER BY s, ord) AS text, count(*) AS n_cues, round(sum(e - s), 2) AS cue_sec FROM i GROUP BY ALL),
+a AS (
+  SELECT set_id, seg, island, count(*) AS n_bins, count(*) FILTER (rms_db > floor_db + 12) AS hot FROM r JOIN bins b USING (set_id) JOIN floors USING (set_id)
+  WHERE bin_idx >= floor(start / 0.25) AND bin_idx < greatest(floor(start / 0.25) + 1, ceil("end" / 0.25)) GROUP BY ALL),
+v AS (SELECT r.*, coalesce(n_bins, 0) AS n_bins, CASE WHEN n_bins >= 12 THEN hot / n_bins END AS density FROM r LEFT JOIN a USING (set_id, seg, island)),
+w AS (SELECT set_id, 'h' AS hyp_id, seg, start, "end", cue_sec, round(greatest(0, "end" - start), 2) AS span_sec, n_cues, md5({normal_sql("text")}) AS text, density, n_bins, CASE WHEN density IS NULL THEN 'undecidable' WHEN density < 0.15 THEN 'true_hallucination' ELSE 'untranscribed_speech' END AS verdict FROM v)"""
 
 
-@query()
-def q_per_line(spark, d):
-    """Edits charged to each line."""
-    return _report(spark, d).per_line
+def _adjudicated(spark, d):
+    s, l, c = _in_seconds(spark, d)
+    bins = c.groupBy(F.col("set_id").alias("rec")).agg(F.max("end").alias("end")).select("rec", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / 0.25))).alias("bin_idx"))
+    bins = bins.withColumn("rms_db", F.when(F.floor(F.col("bin_idx") / 16) % 3 == 0, -20.0).otherwise(-60.0 - F.col("bin_idx") % 5)).withColumn("peak_db", F.col("rms_db"))
+    return adjudicate.adjudicate(s, l, c, bins, levels.floors(bins))
 
 
-@query(f"""WITH {SQL} SELECT set_id, seg, ord, start FROM win w WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.set_id = w.set_id AND p.seg = w.seg AND p.ord = w.ord)""")
-def q_hallucinated(spark, d):
-    """J4 as the scorer uses it, in seconds."""
-    s, l, c = (frames.segments(spark, d), frames.lines(spark, d), frames.cues(spark, d))
-    sec = lambda df, *names: df.select(*[(F.col(x) / 1000.0).alias(x) if x in names else F.col(x) for x in df.columns])
-    out = hallucinated(sec(s, "t_start", "t_end"), sec(l, "t_start", "t_end"), sec(c, "start", "end"))
-    return out.select("set_id", "seg", "ord", F.rint(F.col("start") * 1000).cast("long").alias("start"))
+@query(f"{ADJUDICATED} SELECT * FROM w")
+def q_adjudicated(spark, d):
+    """Unmatched runs of cues, the density of speech under each, and the verdict."""
+    return _adjudicated(spark, d).withColumn("text", F.md5("text"))
+
+
+@query(f"{ADJUDICATED} SELECT set_id, hyp_id, verdict, round(sum(cue_sec), 2) AS cue_sec, count(*) AS spans FROM w GROUP BY ALL")
+def q_verdict_totals(spark, d):
+    """Unmatched time by verdict."""
+    return adjudicate.verdict_totals(_adjudicated(spark, d)).withColumn("cue_sec", F.round("cue_sec", 2))
 
 
-@query()
-def q_plan_cuts(spark, d):
-    """Cut plans of the conversations at their point cues."""
-    c = frames.cues(spark, d)
-    recs = c.groupBy(F.col("set_id").alias("rec")).agg((F.max("end") / 1000.0).alias("duration")).where("duration > 0")
-    quiet = c.where("ord % 7 = 6").select(F.col("set_id").alias("rec"), (F.col("start") / 1000.0).alias("at"))
-    return chunks.chunks(chunks.plan(recs, quiet, longest=60.0, back=15.0, forward=5.0, shortest=10.0))
+def _find_terms_sql(terms: tuple[str, ...]) -> str:
+    order, text, found = sorted(terms, key=lambda x: (-len(x), x)), "t", []
+    for x in order:
+        found.append(f"SELECT doc_id, '{x}' AS term, ((length({text}) - length(replace({text}, '{x}', ''))) // {len(x)})::INT AS n FROM d")
+        text = f"replace({text}, '{x}', '{'~' * len(x)}')"
+    return f"WITH d AS (SELECT doc_id, {normal_sql('text')} AS t FROM documents) SELECT * FROM ({' UNION ALL '.join(found)}) WHERE n > 0"
 
 
-@query()
+TERMS = ("THE", "THENT", "TION", "ATION", "ENT")
+
+
+@query(_find_terms_sql(TERMS))
 def q_find_terms(spark, d):
     """terms in every document, longest first, what is taken is gone."""
     t = frames.table(spark, d, "documents").select("doc_id", normalized("text").alias("t"))
-    return t.select("doc_id", F.explode(find_terms_udf("t", F.array(*map(F.lit, ("THE", "THENT", "TION", "ATION", "ENT"))))).alias("term", "n"))
+    return t.select("doc_id", F.explode(find_terms_udf("t", F.array(*map(F.lit, TERMS)))).alias("term", "n"))
 
 
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def q_benchmark_in_docs(spark, d):
-    """F6 at scale, verbatim hits only: benchmark items that lie in a document without an edit. A pair is looked at only if the document
-    has the item's words 2 to 9, or of a shorter item all between its first and last; items without such words meet every document."""
-    grams = lambda t, m: F.expr(f"transform(sequence(0, greatest(0, size({t}) - {m})), i -> xxhash64(array_join(slice({t}, i + 1, {m}), ' ')))")
-    docs = frames.table(spark, d, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("w"))
-    items = frames.table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), F.split("text", r"\s+").alias("v"))
-    items = items.withColumn("m", F.least(F.lit(8), F.size("v") - 2))
+    """Verbatim hits: benchmark items that lie in a document without an edit. A pair is looked at only if the document has the item's
+    words 2 to 9, or of a shorter item all between its first and last; items without such words meet every document."""
+    hashed = lambda t: F.transform(F.split(t, r"\s+"), lambda x: F.xxhash64(x))
+    run = lambda at, m: "xxhash64(" + ", ".join(f"w[{at} + {i}]" for i in range(m)) + ")"
+    docs = frames.table(spark, d, "documents").where("text is not null").select("doc_id", "text", hashed("text").alias("w"))
+    items = frames.table(spark, d, "benchmark").where("text is not null").select("item_id", F.col("text").alias("item"), hashed("text").alias("w"))
+    items = items.withColumn("m", F.least(F.lit(8), F.size("w") - 2))
     # inner words of an item are whole words of a document that holds it
     pairs = docs.select("doc_id", "text").crossJoin(items.where("m < 1").select("item_id", "item"))
     for m in sorted(x.m for x in items.where("m >= 1").select("m").distinct().collect()):  # 8 lengths at most
-        runs = docs.select("doc_id", "text", F.explode(F.array_distinct(grams("w", m))).alias("g"))
-        own = items.where(F.col("m") == m).select("item_id", "item", F.expr(f"xxhash64(array_join(slice(v, 2, {m}), ' '))").alias("g"))
+        runs = docs.where(F.size("w") >= m).select("doc_id", "text", F.explode(F.array_distinct(F.expr(f"transform(sequence(0, size(w) - {m}), i -> {run('i', m)})"))).alias("g"))
+        own = items.where(F.col("m") == m).select("item_id", "item", F.expr(run("1", m)).alias("g"))
         pairs = pairs.union(runs.join(own, "g").select("doc_id", "text", "item_id", "item"))
     return pairs.where(F.contains("text", "item")).select("item_id", "doc_id")
 
 
-@query()
-def q_lint(spark, d):
-    """Generated sources, one a part, scanned for calls without an encoding."""
-    p = frames.table(spark, d, "part")
-    call = F.when(F.col("p_partkey") % 3 == 0, "sp.run(['x'], text=True)").when(F.col("p_partkey") % 3 == 1, "sp.run(['x'], text=True, encoding='utf-8')").otherwise("os.popen('x')")
-    files = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.encode(F.concat(F.lit("import os\nimport subprocess as sp\n"), call, F.lit("\n")), "UTF-8").alias("content"))
-    return lint.lint(files)
-
-
-ORACLE_SQL["q_lint"] = """SELECT 'p' || p_partkey || '.py' AS path, 3::INT AS line, CASE WHEN p_partkey % 3 = 0 THEN 'run' ELSE 'popen' END AS "function",
-  CASE WHEN p_partkey % 3 = 0 THEN 'text mode without an encoding' ELSE 'always in the locale''s encoding' END AS reason, NULL::VARCHAR AS error FROM part WHERE p_partkey % 3 <> 1"""
-
-
-@query(f"WITH {BINS} SELECT rec, round(10 * log10(avg(pow(10.0, rms_db / 10))), 4) AS mean_db, round(median(rms_db), 6) AS median_db, count(*) AS bins FROM bins GROUP BY rec")
-def q_mean_level(spark, d):
-    """A2, A4: mean power and median of each recording."""
-    return frames.bins(spark, d).groupBy("rec").agg(F.round(mean_db(F.col("rms_db")), 4).alias("mean_db"), F.round(F.median("rms_db"), 6).alias("median_db"), F.count("*").alias("bins"))
-
-
-@query(f"WITH {SQL} SELECT set_id, sum(\"end\" - start)::BIGINT AS ms, count(*) FILTER (role = 'user') / nullif(count(*) FILTER (role <> 'user'), 0) AS share FROM cues GROUP BY ALL")
-def q_ratio(spark, d):
-    """Ratios that are NULL where nothing divides."""
-    c = frames.cues(spark, d).groupBy("set_id").agg(F.sum(F.col("end") - F.col("start")).alias("ms"), F.count(F.when(F.col("role") == "user", 1)).alias("u"), F.count(F.when(F.col("role") != "user", 1)).alias("o"))
-    return c.select("set_id", "ms", ratio(F.col("u"), F.col("o")).alias("share"))
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q_overall(spark, sf_dir)
+    return scores.q_overall(spark, sf_dir)

@@ -1,4 +1,7 @@
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -9,17 +12,31 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
-@pytest.mark.parametrize("name", ["q_window_cues", "q_touch_anti", "q_hallucination", "q_islands", "q_levels", "q_validate_errors", "q_next_ids", "q_srt_parse"])
+@pytest.mark.parametrize("name", ["q_window_cues", "q_touch_anti", "q_overall", "q_by_segment", "q_per_line", "q_costs", "q_islands", "q_levels", "q_validate_errors", "q_golden_load", "q_golden_errors", "q_hyp_dispatch", "q_recap_cues", "q_plan_cuts", "q_adjudicated", "q_store", "q_next_ids", "q_srt_parse", "q_normal_forms"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):
         con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{DATA}/{f}'")
     a, b = QUERIES[name](spark, DATA).toPandas(), con.execute(ORACLE_SQL[name]).df()
     assert sorted(a.columns) == sorted(b.columns)
-    rows = lambda x: sorted(map(tuple, x[sorted(x.columns)].astype(str).replace("nan", "None").values))
+    rows = lambda x: sorted(map(tuple, x[sorted(x.columns)].astype(str).replace({"nan": "None", "<NA>": "None"}).values))
     assert rows(a) == rows(b) and len(a)
 
 
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
+
+
+def test_the_rest_works_without_the_pipeline_operators(tmp_path):
+    """Neither folder nor file is there: the entry still imports, with the other queries."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/scrivener", tmp_path / "scrivener", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(q.startswith('op') for q in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, encoding="utf-8", env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True).stdout.split()
+    assert out == [str(len(QUERIES)), str(len(ORACLE_SQL)), "False"]
+
+
 def test_benchmark_items_of_any_length(spark, tmp_path):
     text = "zero one two three four five six seven eight nine ten eleven twelve"
     words = text.split(" ")
