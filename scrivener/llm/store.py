@@ -2,31 +2,83 @@
 
 from __future__ import annotations
 
+import contextvars
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: The tables that cut() has written for the innermost operator that runs: (path, table).
+_TABLES: contextvars.ContextVar[list[tuple[str, DataFrame]] | None] = contextvars.ContextVar("tables", default=None)
+
+
 def folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset (tests), a local one."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, local mode gets one of its own; a cluster has to name one,
+    as executors would each write to their own disks."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='scrivener-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df for operators that read it more than once and rely on equal batches: a scan, with columns and rows chosen, as it is;
+    anything else is written first, as a shuffle that runs again may order its rows in another way."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {line.lstrip(" :+-").split(" ")[0] for line in plan.splitlines() if line.strip()}
+    return df if nodes <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "Scan"} else cut(df)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it: later steps survive the loss of any executor and do
-    not run what came before again. The job's owner empties the folder."""
+    not run what came before again. What no scratch() deletes the job's owner does."""
     spark = df.sparkSession
     path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if (tables := _TABLES.get()) is not None:
+        tables.append((path, table))
+    return table
+
+
+def scratch(operator: Callable) -> Callable:
+    """Decorates an operator that returns tables, small ones, as they are written in full: the tables that it cut on the way
+    are deleted when they are there."""
+
+    @functools.wraps(operator)
+    def run(*args, **kw):
+        made: list[tuple[str, DataFrame]] = []
+        outer, results = _TABLES.get(), ()
+        token = _TABLES.set(made)
+        try:
+            out = operator(*args, **kw)
+            _TABLES.reset(token)
+            token = None
+            known = {id(table) for _, table in made}
+            results = tuple(x if id(x) in known else cut(x) for x in (out if isinstance(out, tuple) else (out,)))
+        finally:
+            if token:
+                _TABLES.reset(token)
+            kept = {id(x) for x in results}
+            for path, table in made:
+                if id(table) not in kept:
+                    where = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                    where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+                elif outer is not None:
+                    outer.append((path, table))
+        return results if isinstance(out, tuple) else results[0]
+
+    return run
 
 
+@scratch
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for links (a, b), undirected: component is the smallest node reachable.
 
