@@ -19,6 +19,7 @@ from .text import _LOWER, blocks, words
 
 FEATURE_BITS = 18
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000  #: at most so many labelled documents of each kind are learnt from
+SAMPLE_BYTES = 1 << 28  #: and, of those in the order of a hash of their texts, at most about so many bytes
 THRESHOLD = 0.7
 STEPS, RATE, L2 = 250, 0.15, 1e-7
 L1 = 0.25  #: in labelled documents; choose_penalty() on the training rows of sf0.1 finds it best of PENALTIES
@@ -85,18 +86,23 @@ def fit(sentence: np.ndarray, feature: np.ndarray, doc: np.ndarray, label: np.nd
     return weights, bias
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-    """The arguments of fit() for batches of text and label; empty without rows."""
-    sentence, feature, doc, label, sentences, docs = [], [], [], [], 0, 0
+def _bags(batches: Iterator[pa.RecordBatch], folds: list | None = None) -> list[np.ndarray]:
+    """The arguments of fit() for batches of text and label, from about SAMPLE_BYTES of text at most; empty without rows. folds gets their third column."""
+    sentence, feature, doc, label, sentences, docs, n_bytes = [], [], [], [], 0, 0, 0
     for batch in batches:
         y = batch.column(1).to_numpy(zero_copy_only=False)
         for lo, hi, data, offsets in blocks(batch.column(0)):
+            if n_bytes and n_bytes + len(data) > SAMPLE_BYTES:
+                continue
+            n_bytes += len(data)
             s = Sentences(data, offsets)
             key = np.unique(s.sentence << FEATURE_BITS | s.features) if len(s.features) else np.zeros(0, np.int64)
             sentence.append(((key >> FEATURE_BITS) + sentences).astype(np.int32))
             feature.append((key & ((1 << FEATURE_BITS) - 1)).astype(np.int32))
             doc.append(s.doc + docs)
             label.append(y[lo:hi])
+            if folds is not None:
+                folds.append(batch.column(2).to_numpy()[lo:hi])
             sentences, docs = sentences + len(s.doc), docs + hi - lo
     return [np.concatenate(x) for x in (sentence, feature, doc, label)] if docs else []
 
@@ -119,9 +125,9 @@ def _compare(penalties: tuple[float, ...]):
     """The mean log loss of each penalty over folds; equal texts share a fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if bags := _bags(iter(parts)):
-            fold = np.concatenate([b.column(2).to_numpy() for b in parts])
+        folds: list[np.ndarray] = []
+        if bags := _bags(batches, folds):
+            fold = np.concatenate(folds)
             for l1 in penalties:
                 total = 0.0
                 for k in range(FOLDS):
@@ -218,4 +224,5 @@ def clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return score(docs, train(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    """Contract's columns, and `offending`: the sentences that alone reach the threshold."""
+    return score(docs, train(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted", "offending")
