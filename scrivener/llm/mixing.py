@@ -25,12 +25,28 @@ def size_of(text: str = "text") -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def water_fill(sizes: Sequence[int], weights: Sequence[int], cap: int = CAP) -> list[float]:
+    """The targets of sources of these sizes and weights."""
+    clamped, total = [False] * len(sizes), sum(sizes)
+    while True:
+        rest = total - cap * sum(n for n, c in zip(sizes, clamped, strict=True) if c)
+        weight = sum(w for w, c in zip(weights, clamped, strict=True) if not c) or 1
+        more = [c or cap * n * weight < w * rest for n, w, c in zip(sizes, weights, clamped, strict=True)]
+        if more == clamped:
+            return [float(cap * n) if c else float(w * rest) / float(weight) for n, w, c in zip(sizes, weights, clamped, strict=True)]
+        clamped = more
+
+
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """sources (source, source_size, ...) with target: weights repeat over the sources by code point, null last.
+    """sources (source, source_size) with target: weights repeat over the sources by code point, null last.
 
-    The loop brings two sums to the driver in each round; it ends, as each round clamps a source.
+    A table of few sources is filled at once on the driver. Of more, two sums come to the driver in each round; the loop ends, as each round
+    clamps a source.
     """
-    n = sources.count()
+    if len(few := sources.limit(FEW_SOURCES + 1).collect()) <= FEW_SOURCES:
+        few.sort(key=lambda x: (x.source is None, (x.source or "").encode("utf-8", "surrogatepass")))
+        target = water_fill([x.source_size for x in few], [weights[i % len(weights)] for i in range(len(few))], cap)
+        return sources.sparkSession.createDataFrame([(*x, t) for x, t in zip(few, target, strict=True)], "source string, source_size long, target double")
     order = ranked(sources, F.col("source").asc_nulls_last())
     state = order.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")).withColumn("clamped", F.lit(False))
     total = None
@@ -40,9 +56,7 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP
         total = (got["all"] or 0) if total is None else total
         rest, weight = total - cap * (got["held"] or 0), got["weight"] or 1
         share = F.col("weight") * F.lit(rest) / F.lit(weight)
-        state = state.withColumn("clamped", F.col("clamped") | (cap * F.col("source_size") * F.lit(weight) < F.col("weight") * F.lit(rest)))
-        if n > FEW_SOURCES:
-            state = cut(state)
+        state = cut(state.withColumn("clamped", F.col("clamped") | (cap * F.col("source_size") * F.lit(weight) < F.col("weight") * F.lit(rest))))
         if (state.agg(F.sum(F.col("clamped").cast("long"))).first()[0] or 0) == (got["n"] or 0):
             return state.withColumn("target", F.when(F.col("clamped"), (cap * F.col("source_size")).cast("double")).otherwise(share.cast("double"))).drop("rank", "weight", "clamped")
 
@@ -52,38 +66,39 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed:
 
     mix_times: how often the mix takes the document, at most `cap`. Null text has size 0; a null source is a
     source; an empty table gives an empty table; rows that repeat a doc_id are taken separately, and those that
-    agree in everything may swap their times. Columns of docs named mix_* are replaced.
+    agree in everything may swap their times. Columns of docs named mix_* are replaced; others may have any name.
     """
     docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_times")
-    base = docs if "text" not in docs.columns else docs.withColumn("mix_size", size_of())
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    base = base.withColumn("__key", key)
-    narrow = cut(base.select("source", "mix_size", "__key"))
-    sources = cut(narrow.groupBy("source").agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("rows")))
+    base = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col("source").cast("string").alias("source"), size_of().alias("size"), key.alias("key"))
+    narrow = cut(base.select("source", "size", "key"))
+    sources = cut(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
     few = sources.count() <= FEW_SOURCES
-    table = cut(targets(sources, weights, cap))
+    rows_of = sources.select(F.col("source").alias("_source"), "rows")
     bits = F.least(F.lit(20), F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / ROWS_A_SLICE)).cast("int")))
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.floor(F.col("target") / F.col("source_size")))).otherwise(0)
-    table = cut(table.withColumn("__shift", 20 - bits).withColumn("__whole", whole.cast("long")).withColumn("__rest", F.col("target") - F.col("__whole") * F.col("source_size")).withColumnRenamed("source", "__source"))
+    table = targets(sources.select("source", "source_size"), weights, cap)
+    table = table.join(rows_of, table["source"].eqNullSafe(rows_of["_source"])).withColumn("shift", 20 - bits).withColumn("whole", whole.cast("long"))
+    table = cut(table.select("_source", "source_size", "target", "shift", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest")))
 
     def placed(df: DataFrame) -> DataFrame:
         t = F.broadcast(table) if few else table
-        at = F.expr("shiftright(cast(conv(substr(__key, 1, 5), 16, 10) as bigint), __shift)")
-        return df.join(t, df["source"].eqNullSafe(t["__source"]), "left").withColumn("__slice", at)
-
-    slices = placed(narrow).groupBy("__source", "__slice").agg(F.sum("mix_size").alias("n"), F.first("__rest").alias("rest"))
-    run = Window.partitionBy("__source").orderBy("__slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = slices.withColumn("end", F.sum("n").over(run)).withColumn("__before", F.col("end") - F.col("n"))
-    state = F.when(F.col("end") <= F.col("rest"), 1).when(F.col("__before") > F.col("rest"), 0).otherwise(2)
-    slices = cut(slices.select(F.col("__source").alias("__s"), F.col("__slice").alias("__i"), "__before", state.alias("__state")))
+        at = F.expr("shiftright(cast(conv(substr(key, 1, 5), 16, 10) as bigint), shift)")
+        return df.join(t, df["source"].eqNullSafe(t["_source"]), "left").withColumn("slice", at)
+
+    slices = placed(narrow).groupBy("_source", "slice").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
+    run = Window.partitionBy("_source").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slices = slices.withColumn("end", F.sum("n").over(run)).withColumn("before", F.col("end") - F.col("n"))
+    state = F.when(F.col("end") <= F.col("rest"), 1).when(F.col("before") > F.col("rest"), 0).otherwise(2)
+    slices = cut(slices.select(F.col("_source").alias("_s"), F.col("slice").alias("_i"), "before", state.alias("state")))
     rows = placed(base)
-    rows = rows.join(slices, rows["__source"].eqNullSafe(slices["__s"]) & (rows["__slice"] == slices["__i"]), "left")
-    order = Window.partitionBy("__source", "__slice").orderBy("__key", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.where("__state = 2").withColumn("__before", F.col("__before") + F.coalesce(F.sum("mix_size").over(order), F.lit(0)))
-    edge = edge.withColumn("__state", (2 * F.col("__before") + F.col("mix_size") <= 2 * F.col("__rest")).cast("int"))
-    rows = rows.where("__state is null or __state <> 2").unionByName(edge)
-    extra = F.when((F.col("__whole") < cap) & (F.col("mix_size") > 0), F.coalesce("__state", F.lit(0))).otherwise(0)
-    return rows.select(*docs.columns, *([] if "mix_size" in docs.columns else ["mix_size"]), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), (F.col("__whole") + extra).cast("long").alias("mix_times"))
+    rows = rows.join(slices, rows["_source"].eqNullSafe(slices["_s"]) & (rows["slice"] == slices["_i"]), "left")
+    order = Window.partitionBy("_source", "slice").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = rows.where("state = 2").withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    edge = edge.withColumn("state", (2 * F.col("before") + F.col("size") <= 2 * F.col("rest")).cast("int"))
+    rows = rows.where("state is null or state <> 2").unionByName(edge)
+    extra = F.when((F.col("whole") < cap) & (F.col("size") > 0), F.coalesce("state", F.lit(0))).otherwise(0)
+    return rows.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), (F.col("whole") + extra).cast("long").alias("mix_times"))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
