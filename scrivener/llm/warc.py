@@ -1,8 +1,8 @@
 """Merkle fixity audits of WARC files.
 
 A record's bytes are hashed to a leaf. The leaves of a file, in the order of their offsets, are hashed by ranges of
-`fanout` to the next level and so on up to one root a file. Each replica has a second tree over its own order, whose nodes
-hash their offset and length, too. These are compared root by root; of files whose roots differ only the children of
+`fanout` to the next level and so on up to one root a file; each node hashes the range of offsets that it covers, too. Each
+replica has a tree over its own order. The trees are compared root by root; of files whose roots differ only the children of
 differing nodes are compared, level by level, down to the records that are missing, extra or moved.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut, ranked
+from .store import cut, ranked, scratch
 
 FANOUT, FILE_RECORDS = 16, 1024
 DRILL = 97  #: in op6, the replica's copies of the records with page_id divisible by this are damaged
@@ -41,20 +41,6 @@ def place(leaves_: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
     return rows.withColumn("offset", F.coalesce(F.sum("n_bytes").over(before), F.lit(0))).drop("rank")
 
 
-def levels(placed: DataFrame, value: str, fanout: int = FANOUT, file_records: int = FILE_RECORDS) -> list[DataFrame]:
-    """The tree over column `value`, leaves first: tables of file, slot, hash; the last holds the roots.
-
-    A node hashes the fanout, the range of offsets is implied by its slot; the hash covers its children in order."""
-    level = placed.select("file", "slot", F.col(value).alias("hash"))
-    out, width = [level], file_records
-    while width > 1:
-        ordered = F.array_sort(F.collect_list(F.struct("slot", "hash")))
-        level = level.groupBy("file", F.floor(F.col("slot") / fanout).cast("int").alias("up")).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["hash"]), ""), 256).alias("hash")).withColumnRenamed("up", "slot")
-        out.append(level)
-        width = -(-width // fanout)
-    return out
-
-
 def stored(pages: DataFrame) -> DataFrame:
     """page_id, n_bytes, leaf, file, slot, offset: where pages has file and offset, its records in that order, with these
     offsets; else as place() puts them."""
@@ -65,12 +51,12 @@ def stored(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "n_bytes", "leaf", F.col("file").cast("long").alias("file"), slot.alias("slot"), F.col("offset").cast("long").alias("offset"))
 
 
-def nodes(placed: DataFrame, fanout: int = FANOUT, file_records: int = FILE_RECORDS) -> list[DataFrame]:
-    """The tree by which replicas are compared, leaves first: tables of file, slot, offset, n_bytes, hash; the hash covers offset,
-    length and the children in order. A file of more records has several nodes in the last table."""
+def nodes(placed: DataFrame, longest: int = FILE_RECORDS, fanout: int = FANOUT) -> list[DataFrame]:
+    """The tree of each file, leaves first: tables of file, slot, offset, n_bytes, hash; the last holds the roots of files of at
+    most `longest` records. A node hashes the range of offsets that it covers (its offset and length) and, in order, its children."""
     hashed = lambda inner: F.sha2(F.concat_ws(":", "offset", "n_bytes", inner), 256).alias("hash")
     level = placed.select("file", "slot", "offset", "n_bytes", hashed("leaf"))
-    out, width = [level], file_records
+    out, width = [level], longest
     while width > 1:
         ordered = F.array_sort(F.collect_list(F.struct("slot", "hash")))
         inner = F.array_join(F.transform(ordered, lambda x: x["hash"]), "").alias("inner")
@@ -81,16 +67,20 @@ def nodes(placed: DataFrame, fanout: int = FANOUT, file_records: int = FILE_RECO
     return out
 
 
-def compare(own: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame:
+def _longest(*placed: DataFrame) -> int:
+    return max(FILE_RECORDS, *((x.agg(F.max("slot")).first()[0] or 0) + 1 for x in placed))  # a file that is given may hold more
+
+
+def compare(own: DataFrame, theirs: DataFrame, trees: tuple[list[DataFrame], list[DataFrame]], fanout: int = FANOUT) -> DataFrame:
     """One row per record that differs between two tables of stored(): finding, page_id, leaf, file, slot, offset (null if
-    extra), other_file, other_slot, other_offset (null if missing).
+    extra), other_file, other_slot, other_offset (null if missing). trees: their nodes(), of one height.
 
     finding: 'missing' (in own only), 'extra' (in theirs only) or 'moved' (the same bytes in another file, slot or at
     another offset). A record whose bytes were changed is missing and, as what it became, extra. Of records that are
     alike as many match as both have, first those in their place.
     """
     differ = None
-    for a, b in zip(reversed(nodes(own, fanout)), reversed(nodes(theirs, fanout)), strict=True):  # from the roots down
+    for a, b in zip(*(reversed(x) for x in trees), strict=True):  # from the roots down
         if differ is not None:  # below differing nodes only
             above = differ.select("file", F.col("slot").alias("up"))
             a, b = (x.withColumn("up", F.floor(F.col("slot") / fanout).cast("int")).join(above, ["file", "up"], "left_semi") for x in (a, b))
@@ -106,23 +96,27 @@ def compare(own: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFram
     return both.select(finding.alias("finding"), F.coalesce("page_id", "other_page_id").alias("page_id"), F.coalesce("leaf", "other_leaf").alias("leaf"), "file", "slot", "offset", "other_file", "other_slot", "other_offset")
 
 
+@scratch
 def differences(pages: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """The rows of compare() for pages and replica (page_id, url, html; with file and offset, these are their places)."""
-    return compare(cut(stored(pages)), cut(stored(replica)), fanout)
+    own, theirs = cut(stored(pages)), cut(stored(replica))
+    longest = _longest(own, theirs)
+    return compare(own, theirs, (nodes(own, longest, fanout), nodes(theirs, longest, fanout)), fanout)
 
 
+@scratch
 def audit(pages: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """One row per record of `pages`: page_id, file, offset, n_bytes, leaf, root (of its file), intact.
+    """One row per record of `pages`: page_id, file, offset, n_bytes, leaf, root (of its file's tree), intact.
 
     pages, replica: page_id, url, html, and file and offset where their order is known; other columns are ignored. A record is
     intact unless compare() finds it missing: one that was only moved has all its bytes. What is moved or only in the replica is in
-    differences(). root covers the records' hashes, not their offsets. Null fields are empty. Empty tables give no rows.
+    differences(). Null fields are empty. Empty tables give no rows.
     """
-    own = cut(stored(pages))
-    found = compare(own, cut(stored(replica)), fanout)
-    bad = found.where("finding = 'missing'").select("file", "slot", F.lit(True).alias("_bad"))
-    longest = max(FILE_RECORDS, (own.agg(F.max("slot")).first()[0] or 0) + 1)  # a file that is given may hold more
-    roots = levels(own, "leaf", fanout, longest)[-1].select("file", F.col("hash").alias("root"))
+    own, theirs = cut(stored(pages)), cut(stored(replica))
+    longest = _longest(own, theirs)
+    trees = nodes(own, longest, fanout), nodes(theirs, longest, fanout)
+    bad = compare(own, theirs, trees, fanout).where("finding = 'missing'").select("file", "slot", F.lit(True).alias("_bad"))
+    roots = trees[0][-1].select("file", F.col("hash").alias("root"))
     return own.join(bad, ["file", "slot"], "left").join(roots, "file").select("page_id", "file", "offset", "n_bytes", "leaf", "root", F.col("_bad").isNull().alias("intact"))
 
 
@@ -141,9 +135,9 @@ WITH p AS (
 l AS (SELECT page_id, octet_length(encode(r))::BIGINT AS n_bytes, sha256(r) AS leaf FROM p),
 o AS (SELECT *, row_number() OVER (ORDER BY page_id, leaf) - 1 AS k FROM l),
 f AS (SELECT *, k // 1024 AS file, k % 1024 AS slot FROM o),
-a AS (SELECT file, slot // 16 AS slot, sha256(string_agg(leaf, '' ORDER BY slot)) AS h FROM f GROUP BY 1, f.slot // 16),
-b AS (SELECT file, slot // 16 AS slot, sha256(string_agg(h, '' ORDER BY slot)) AS h FROM a GROUP BY 1, a.slot // 16),
-c AS (SELECT file, sha256(string_agg(h, '' ORDER BY slot)) AS root FROM b GROUP BY 1)
-SELECT page_id, file::BIGINT AS file, coalesce(sum(n_bytes) OVER (PARTITION BY file ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
-       n_bytes, leaf, root, page_id % 97 <> 0 AS intact
-FROM f JOIN c USING (file)"""
+g AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY file ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at_ FROM f),
+z AS (SELECT file, slot, at_, n_bytes, sha256(at_ || ':' || n_bytes || ':' || leaf) AS h FROM g),
+a AS (SELECT file, slot // 16 AS slot, min(at_) AS at_, sum(n_bytes)::BIGINT AS n_bytes, sha256(min(at_) || ':' || sum(n_bytes)::BIGINT || ':' || string_agg(h, '' ORDER BY slot)) AS h FROM z GROUP BY file, z.slot // 16),
+b AS (SELECT file, slot // 16 AS slot, min(at_) AS at_, sum(n_bytes)::BIGINT AS n_bytes, sha256(min(at_) || ':' || sum(n_bytes)::BIGINT || ':' || string_agg(h, '' ORDER BY slot)) AS h FROM a GROUP BY file, a.slot // 16),
+c AS (SELECT file, sha256(min(at_) || ':' || sum(n_bytes)::BIGINT || ':' || string_agg(h, '' ORDER BY slot)) AS root FROM b GROUP BY file)
+SELECT page_id, file::BIGINT AS file, at_ AS "offset", n_bytes, leaf, root, page_id % 97 <> 0 AS intact FROM g JOIN c USING (file)"""
