@@ -24,6 +24,7 @@ class Report(NamedTuple):
     overall: DataFrame
     by_segment: DataFrame
     per_line: DataFrame
+    sets: DataFrame  #: set_id, drop_fillers, vocab_size
 
 
 def met(lines: DataFrame, cues: DataFrame) -> DataFrame:
@@ -141,7 +142,8 @@ def score(segments: DataFrame, lines: DataFrame, cues: DataFrame, hyps: DataFram
         rounded(F.coalesce("_med", F.lit(0.0)), 1).alias("hyp_median_cue_sec"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("model_precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("model_recall"), "golden_sec",
         *([ratio(F.col("asr_sec"), F.col("duration_sec")).alias("rtf")] if len(timed) == 2 else []),
     )
-    return Report(overall, by_segment, per_line)
+    sets = hyps.select("set_id").distinct().join(wanted, "set_id", "left").select("set_id", F.lit(drop_fillers).alias("drop_fillers"), F.when(F.col("vocab").isNull(), 0).otherwise(F.size("vocab")).cast("long").alias("vocab_size"))
+    return Report(overall, by_segment, per_line, sets)
 
 
 def report_json(report: Report) -> DataFrame:
@@ -149,4 +151,5 @@ def report_json(report: Report) -> DataFrame:
     nest = lambda df, name: df.groupBy(*RUN).agg(F.collect_list(F.struct(*[c for c in df.columns if c not in RUN])).alias(name))
     overall = report.overall.select(*RUN, F.struct(*[c for c in report.overall.columns if c not in RUN]).alias("overall"))
     rows = overall.join(nest(report.by_segment, "by_segment"), RUN, "left").join(nest(report.per_line, "per_line"), RUN, "left")
-    return rows.select(*RUN, F.to_json(F.struct("set_id", "overall", "by_segment", "per_line"), {"ignoreNullFields": "false"}).alias("report"))
+    rows = rows.join(report.sets, "set_id")
+    return rows.select(*RUN, F.to_json(F.struct("set_id", "drop_fillers", "vocab_size", "overall", "by_segment", "per_line"), {"ignoreNullFields": "false"}).alias("report"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivener.functions.text import error_rate_of, normalized, substring_costs_udf, substring_distance_udf
-from scrivener.operators.score import Report, retention, score
+from scrivener.operators.score import Report, report_json, retention, score
 from scrivener.plans.announcements import BY_SEGMENT, OVERALL, PER_LINE, sets, sql
 from scrivener.plans.registry import query
 
@@ -77,6 +77,19 @@ def q_real_time_factor(spark, d):
     return report(spark, d).overall.select("set_id", "hyp_id", "rtf")
 
 
+@query(sql("""SELECT k AS set_id, h AS hyp_id, false AS drop_fillers, len(vocab)::BIGINT AS vocab_size, sum(length(ref))::BIGINT AS ref_chars, count(*) AS segments, sum(lines)::BIGINT AS lines, string_agg(seg || coalesce(CASE WHEN judged THEN '' WHEN est THEN 'end_estimated' WHEN coarse THEN 'cue_too_coarse' ELSE 'no_hyp_in_window' END, ''), ',' ORDER BY seg) AS blocked
+FROM rows_ JOIN vo USING (k) GROUP BY ALL"""))
+def q_report_json(spark, d):
+    """S11 and the report contract: the nested report as one JSON document a hypothesis, read back."""
+    at = lambda path: F.get_json_object("report", f"$.{path}")
+    rows = F.array_sort(F.from_json(at("by_segment"), "array<struct<seg string, hallucination_blocked_by string>>"))
+    why = F.array_join(F.transform(rows, lambda x: F.concat(x["seg"], F.coalesce(x["hallucination_blocked_by"], F.lit("")))), ",")
+    return report_json(report(spark, d)).select(
+        "set_id", "hyp_id", (at("drop_fillers") == "true").alias("drop_fillers"), at("vocab_size").cast("long").alias("vocab_size"), at("overall.ref_chars").cast("long").alias("ref_chars"),
+        F.json_array_length(at("by_segment")).cast("long").alias("segments"), F.json_array_length(at("per_line")).cast("long").alias("lines"), why.alias("blocked"),
+    )
+
+
 ALIGN = """WITH RECURSIVE q AS (SELECT p_partkey, upper(replace(p_name, ' ', '')) AS ref, upper(replace(p_brand, '#', '') || p_type) AS hyp FROM part),
 p AS (SELECT row_number() OVER () AS pid, ref, hyp FROM (SELECT DISTINCT ref, hyp FROM q)),
 v AS (
