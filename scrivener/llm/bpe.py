@@ -9,7 +9,6 @@ its occurrences, from left to right.
 from __future__ import annotations
 
 import functools
-import hashlib
 import json
 from collections.abc import Iterator
 
