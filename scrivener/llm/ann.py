@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, scratch
 
 CENTRES, PAIR = 16, 2
 SAMPLE = 20_000  #: vectors, at most, that the centres are fitted on
@@ -195,6 +195,7 @@ def _best(centres: np.ndarray, k: int):
     return run
 
 
+@scratch
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (exact cosine): each query's k nearest among vectors but itself.
 
