@@ -155,7 +155,7 @@ def strip_repeats(rows, width=13):
     return out
 
 
-@pytest.mark.parametrize("hot", [0, 3, 1 << 15])
+@pytest.mark.parametrize("hot", [0, 3, 1 << 12])
 def test_substring_dedup_with_hot_anchors(docs, monkeypatch, hot):
     """A line that half of the documents hold between different words, a passage and near copies; anchors cut into windows or not."""
     monkeypatch.setattr(substring, "HOT", hot)
