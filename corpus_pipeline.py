@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivener.llm import bpe, minhash, mixing, substring, toxicity
-from scrivener.llm.store import cut, ranked
+from scrivener.llm.store import cut, ranked, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -87,7 +87,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@scratch
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what the stages wrote before is deleted when they are there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))
