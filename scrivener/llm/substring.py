@@ -29,7 +29,8 @@ from .text import U64, Words, blocks, mix, words
 
 WIDTH, ANCHOR = 13, 5
 PART_BYTES = 1 << 25  #: about so many bytes of entries a part, and of words a shard
-HOT = 1 << 15  #: segments of an anchor; those of an anchor with more are cut into windows
+LOTS = 4  #: parts and shards a partition, as they fall to partitions by hash
+HOT = 1 << 12  #: segments of an anchor; those of an anchor with more are cut into windows
 HOT_ANCHORS = 1 << 20  #: at most so many anchors count as hot, as each task gets their list; HOT grows instead
 _STEP = U64(0x9FB21C651E98DF25)
 _POWER = np.multiply.accumulate(np.full(ANCHOR, _STEP, U64))
@@ -436,11 +437,12 @@ def repeated(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    enough = lambda n_bytes: max(parts, -(-int(n_bytes) // PART_BYTES))
+    enough = lambda n_bytes: max(LOTS * parts, -(-int(n_bytes) // PART_BYTES))
     rows = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     named = rows.where("doc_id is not null")
     facts = cut(rows.mapInArrow(_facts, "doc_id long, n_words long, whole_sha256 string"))
     groups = facts.where(F.col("n_words") >= width).groupBy("whole_sha256").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("whole_sha256", "low")
+    groups = cut(groups)  # as a table, so that the join can split a large group
     copies = cut(facts.join(groups, "whole_sha256").where(F.col("doc_id") > F.col("low")).select("doc_id", F.col("whole_sha256").alias("_sha")).distinct())
     n_words = facts.agg(F.sum("n_words")).first()[0] or 0
     dealt = named.mapInArrow(_deal(width, enough(n_words * _ENTRY.itemsize / 4)), "part int, entries binary")
