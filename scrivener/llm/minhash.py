@@ -10,8 +10,8 @@ Groups of equal sets enter as one row. In a band's bucket every member is first
 member that meets most others; afterwards only members whose components still differ, and which share enough
 shingles with others at all, are compared. So a large group of near copies costs about one comparison a member
 and band, not one a pair. A group whose members lie just below the threshold has no such shortcut: its members are
-compared within pairs of blocks of bounded size, registers first and then full sets, and a pair of blocks yields no more
-links than join its components. That work grows with the square of such a group; the rows made and a task's memory do not.
+compared within pairs of blocks of bounded size, registers first and then full sets, each pair in the first band alone that it
+shares, and a pair of blocks yields no more links than join its components. That work grows with the square of such a group; the rows made and a task's memory do not.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import components, cut
+from .store import components, cut, scratch
 from .text import U64, blocks, distinct, mix, shingles, words
 
 M, BANDS, ROWS = 163, 40, 4  #: M is prime: every step deals an element's points to all registers
@@ -187,9 +187,19 @@ def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, th
     return (high >= threshold - 1e-9) & ~((trial < threshold) & far)
 
 
-def block_links(side, component, own, regs, shingles: list[np.ndarray], cross: bool, percent: int, slack: float) -> list[tuple[int, int]]:
+def earlier_bands(regs: np.ndarray, key: int) -> np.ndarray:
+    """The members' keys in the bands before that of a bucket's key; of a pair that agrees in one of them, the bucket of that band
+    decides. A member whose registers do not have the key (another text under its doc_id) has no part in finding the band."""
+    keys = bands(regs)
+    at = np.flatnonzero((keys == key).any(axis=0))
+    return keys[:, : at[0]] if len(at) else keys[:, :0]
+
+
+def block_links(side, component, own, regs, shingles: list[np.ndarray], cross: bool, percent: int, slack: float, key: int | None = None) -> list[tuple[int, int]]:
     """Links (rows of the arguments) that join the components of the members of one block, or of two (cross: sides 0 and 1),
-    as all links of 100 * intersection >= percent * union between them would."""
+    as all links of 100 * intersection >= percent * union between them would. key: of the bucket; pairs that share an earlier one are
+    left to it."""
+    before = earlier_bands(regs, key) if key is not None else np.zeros((len(regs), 0), np.int64)
     size = np.array([len(x) for x in shingles])
     start = np.concatenate([[0], np.cumsum(size)])
     vocabulary, code = np.unique(np.concatenate(shingles), return_inverse=True)
@@ -197,6 +207,8 @@ def block_links(side, component, own, regs, shingles: list[np.ndarray], cross: b
     for i in np.flatnonzero(side == 0) if cross else range(len(size) - 1):
         can = (component != component[i]) & ((100 + percent) * np.minimum(shared, shared[i]) >= percent * (size + size[i]))
         j = np.flatnonzero(can & (side == 1) if cross else can & (np.arange(len(size)) > i))
+        if len(j) and before.shape[1]:
+            j = j[~(before[j] == before[i]).any(axis=1)]
         if len(j):
             j = j[plausible(np.broadcast_to(regs[i], (len(j), M)), regs[j], np.full(len(j), float(size[i])), size[j].astype(float), percent / 100, slack)]
         if len(j) == 0:
@@ -214,13 +226,13 @@ def block_links(side, component, own, regs, shingles: list[np.ndarray], cross: b
 
 
 def _within_blocks(percent: int, slack: float):
-    """(a, b): the links of block_links() for each row lo, hi, members."""
+    """(a, b): the links of block_links() for each row key, lo, hi, members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[np.ndarray] = []
             for row in range(batch.num_rows):
-                lo, hi, members = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2).slice(row, 1).flatten()
+                (key, lo, hi), members = (batch.column(i)[row].as_py() for i in range(3)), batch.column(3).slice(row, 1).flatten()
                 side, rep, component, own = (members.field(i).to_numpy(zero_copy_only=False) for i in range(4))
                 if len(rep) < 2:
                     continue
@@ -228,7 +240,7 @@ def _within_blocks(percent: int, slack: float):
                 sets, at = members.field(5), members.field(5).offsets.to_numpy()
                 values = sets.values.to_numpy(zero_copy_only=False)
                 shingles_ = [values[at[i] : at[i + 1]] for i in range(len(rep))]
-                if links := block_links((side == hi).astype(int) if lo < hi else side, component, own, regs, shingles_, lo < hi, percent, slack):
+                if links := block_links((side == hi).astype(int) if lo < hi else side, component, own, regs, shingles_, lo < hi, percent, slack, key):
                     found.append(rep[np.array(links)])
             pairs = np.sort(np.concatenate(found or [np.zeros((0, 2), np.int64)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
@@ -236,6 +248,7 @@ def _within_blocks(percent: int, slack: float):
     return run
 
 
+@scratch
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -258,11 +271,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5)
     )
     keys = reps.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "n")
-    inside = cut(keys.join(shared, "key"))  # what meets nothing ends here
+    inside = cut(keys.join(cut(shared), "key"))  # what meets nothing ends here; shared as a table, so that the join can split a large bucket
     drawn = inside.groupBy("rep").agg(F.sum("n").alias("drawn"))
     inside = cut(inside.join(drawn, "rep").select("key", "rep", "drawn"))
     hubs = inside.groupBy("key").agg(F.max(F.struct("drawn", (-F.col("rep")).alias("back"))).alias("hub")).select("key", (-F.col("hub.back")).alias("hub"))
-    first = inside.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    first = inside.join(cut(hubs), "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
     facts = reps.select("rep", "registers", "n_shingles").distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
@@ -305,7 +318,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5)
     parts = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
     dealt = part.withColumn("side", F.pmod(F.xxhash64("rep", F.lit(7)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "rep", "side", "component", "own").join(bodies.hint("merge"), "rep")
-    packed = dealt.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("side", "rep", "component", "own", "registers", "shingles")).alias("members")).select("lo", "hi", "members")
+    packed = dealt.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("side", "rep", "component", "own", "registers", "shingles")).alias("members")).select("key", "lo", "hi", "members")
     more = cut(packed.mapInArrow(_within_blocks(percent, 18.0), "a long, b long").distinct())
     if not more.isEmpty():
         found = components(links.union(more))
