@@ -82,14 +82,14 @@ def compare(own: DataFrame, theirs: DataFrame, trees: tuple[list[DataFrame], lis
     differ = None
     for a, b in zip(*(reversed(x) for x in trees), strict=True):  # from the roots down
         if differ is not None:  # below differing nodes only
-            above = differ.select("file", F.col("slot").alias("up"))
+            above = differ.select("file", F.col("slot").alias("up")).hint("merge")  # what differs may be much, so it is never broadcast
             a, b = (x.withColumn("up", F.floor(F.col("slot") / fanout).cast("int")).join(above, ["file", "up"], "left_semi") for x in (a, b))
         pair = a.select("file", "slot", F.col("hash").alias("one")).join(b.select("file", "slot", F.col("hash").alias("two")), ["file", "slot"], "full")
         differ = cut(pair.where(~F.col("one").eqNullSafe(F.col("two"))).select("file", "slot"))
         if differ.isEmpty():
             break
     alike = F.row_number().over(Window.partitionBy("page_id", "leaf").orderBy("file", "slot"))
-    a, b = (x.join(differ, ["file", "slot"], "left_semi").withColumn("nth", alike) for x in (own, theirs))
+    a, b = (x.join(differ.hint("merge"), ["file", "slot"], "left_semi").withColumn("nth", alike) for x in (own, theirs))
     b = b.select(*[F.col(x).alias(f"other_{x}") for x in ("page_id", "leaf", "nth", "file", "slot", "offset")])
     both = a.join(b, a["page_id"].eqNullSafe(b["other_page_id"]) & (a["leaf"] == b["other_leaf"]) & (a["nth"] == b["other_nth"]), "full")
     finding = F.when(F.col("other_leaf").isNull(), "missing").when(F.col("leaf").isNull(), "extra").otherwise("moved")
@@ -117,7 +117,7 @@ def audit(pages: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFra
     trees = nodes(own, longest, fanout), nodes(theirs, longest, fanout)
     bad = compare(own, theirs, trees, fanout).where("finding = 'missing'").select("file", "slot", F.lit(True).alias("_bad"))
     roots = trees[0][-1].select("file", F.col("hash").alias("root"))
-    return own.join(bad, ["file", "slot"], "left").join(roots, "file").select("page_id", "file", "offset", "n_bytes", "leaf", "root", F.col("_bad").isNull().alias("intact"))
+    return own.join(bad.hint("merge"), ["file", "slot"], "left").join(roots.hint("merge"), "file").select("page_id", "file", "offset", "n_bytes", "leaf", "root", F.col("_bad").isNull().alias("intact"))
 
 
 def op6_warc_audit(spark, sf_dir: str) -> DataFrame:
