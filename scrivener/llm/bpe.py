@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import BLOCK_BYTES, blocks
+from .text import BLOCK_BYTES, blocks, trim, trimmed
 
 KEPT_PIECES = 400_000  #: pieces a worker keeps; beyond that it starts anew
 NONE = np.int64(1) << 60
@@ -150,20 +150,30 @@ class Bpe:
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Bpe:
-    return Bpe(path)
+    bpe = Bpe(path)
+    trim()  # the parsed file is several times as large
+    return bpe
+
+
+def _coded(bpe: Bpe, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    every = np.arange(batch.num_rows)
+    others = [x.take(every) for x in batch.columns[:-1]]  # copies: slices would keep the whole batch
+    text = batch.column(batch.num_columns - 1)
+    for lo, hi, _, _ in blocks(text, BLOCK_BYTES):
+        texts = text.slice(lo, hi - lo).fill_null("").to_pylist()
+        ids = bpe.encode(texts)
+        decoded = [bpe.decode(x) for x in ids]
+        rest = [x.slice(lo, hi - lo) for x in others]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*batch.schema.names[:-1], "ids", "decoded"])
 
 
 def _encode(path: str):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            for lo, hi, _, _ in blocks(text, BLOCK_BYTES):
-                texts = text.slice(lo, hi - lo).fill_null("").to_pylist()
-                ids = bpe.encode(texts)
-                decoded = [bpe.decode(x) for x in ids]
-                rest = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=[*batch.schema.names[:-1], "ids", "decoded"])
+            yield from _coded(bpe, batch)
+            del batch  # before the next one is read
 
     return run
 

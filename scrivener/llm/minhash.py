@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import components, cut, scratch
-from .text import U64, blocks, distinct, mix, shingles, words
+from .text import U64, blocks, distinct, mix, shingles, trimmed, words
 
 M, BANDS, ROWS = 163, 40, 4  #: M is prime: every step deals an element's points to all registers
 BLOCK, BLOCK_SHINGLES = 512, 1 << 17  #: about so many members and shingles a block
@@ -98,6 +98,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def _sketches(threshold_words: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
@@ -132,6 +133,7 @@ def sketch(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
 
 
 def _sets(shingle_words: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(1)):
@@ -148,6 +150,7 @@ def _weigh(threshold: float, slack: float):
     """Drops the pairs whose likelihood at the threshold lies `slack` below the greatest, where that is
     reached below the threshold. slack 18 is six standard deviations."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
@@ -164,6 +167,7 @@ def _weigh(threshold: float, slack: float):
     return run
 
 
+@trimmed
 def _sketched_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """rep, registers, shingles, from rep, shingles."""
     for batch in batches:
@@ -228,6 +232,7 @@ def block_links(side, component, own, regs, shingles: list[np.ndarray], cross: b
 def _within_blocks(percent: int, slack: float):
     """(a, b): the links of block_links() for each row key, lo, hi, members."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[np.ndarray] = []

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import cut, scratch, settled
-from .text import U64, Words, blocks, mix, words
+from .text import U64, Words, blocks, mix, trimmed, words
 
 WIDTH, ANCHOR = 13, 5
 PART_BYTES = 1 << 25  #: about so many bytes of entries a part, and of words a shard
@@ -166,6 +166,7 @@ def anchors(h: np.ndarray, first: np.ndarray, width: int = WIDTH) -> tuple[np.nd
     return start[begin], np.diff(np.append(begin, len(start))), best[start[begin]]
 
 
+@trimmed
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n_words, whole_sha256 (of the words joined by one space)."""
     for batch in batches:
@@ -196,6 +197,7 @@ def _entries(batch: pa.RecordBatch, width: int) -> np.ndarray:
         e["anchor"], e["doc"], e["start"], e["n"] = anchor, ids[lo:hi][doc], start - w.first[doc], n
         parts.append(e)
     e = np.concatenate(parts) if parts else np.zeros(0, _ENTRY)
+    parts.clear()
     return e[np.lexsort((e["doc"], e["anchor"]))]
 
 
@@ -214,6 +216,7 @@ def _shared(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _deal(width: int, parts: int):
     """Anchors by part; one entry for an anchor that several documents of the batch share."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             e = _entries(batch, width)
@@ -221,15 +224,20 @@ def _deal(width: int, parts: int):
             size = np.diff(np.append(np.flatnonzero(new), len(e)))
             some = ~shared | new
             size = size[np.cumsum(new)[some] - 1] if len(e) else size
-            e = e[some].copy()
+            e = e[some]
             own = shared[some]
             e["start"][own] = size[own]
             e["n"][own] = 0
-            part = (e["anchor"] >> U64(20)) % U64(parts)
+            del shared, new, size, some, own
+            part = ((e["anchor"] >> U64(20)) % U64(parts)).astype(np.int32)
             e = e[order := np.argsort(part, kind="stable")]
             ends = np.searchsorted(part[order], np.arange(parts + 1))
+            del part, order
             own = np.flatnonzero(np.diff(ends))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([e[ends[p] : ends[p + 1]].tobytes() for p in own], pa.binary())], names=["part", "entries"])
+            where = (np.append(ends[own], len(e)) * e.itemsize).astype(np.int32)  # parts without entries take no room
+            entries = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(where), pa.py_buffer(e.view(np.uint8))])
+            del e
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), entries], names=["part", "entries"])
 
     return run
 
@@ -241,6 +249,7 @@ def _segments(e: np.ndarray) -> dict[str, np.ndarray]:
 def _local(width: int):
     """The segments of anchors that several documents of the batch share."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             e = _entries(batch, width)
@@ -253,6 +262,7 @@ def _local(width: int):
 def _meet(hot: int):
     """The segments of shared anchors; and, for each anchor of more than `hot` segments, the anchor as doc_id with the segment -1."""
 
+    @trimmed
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         e = np.frombuffer(b"".join(frame["entries"]), _ENTRY)
         e = e[np.lexsort((e["doc"], e["anchor"]))]
@@ -320,6 +330,7 @@ def _keys(keys: np.ndarray) -> pa.Array:
 def _distinct(width: int, shards: int, hot: np.ndarray):
     """Distinct segments: shard, first (smallest doc_id), several (whether more than one document of the batch has it), words."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, segment, rows, keys, shard in _cut_out(batch, width, hot):
@@ -342,6 +353,7 @@ def _index(width: int):
     """A shard's segments against its index: key, firsts (the smallest doc_id that holds each window, int64; one value if they are all
     the same). Segments that one document alone has, and whose windows no earlier one has, are left out."""
 
+    @trimmed
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         one = frame.groupby("words", sort=True).agg(first=("first", "min"), last=("first", "max"), several=("several", "any"))
         first = one["first"].to_numpy(np.int64)
@@ -371,6 +383,7 @@ def _index(width: int):
 
 
 def _uses(width: int, hot: np.ndarray):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, segment, _, keys, _ in _cut_out(batch, width, hot):
@@ -382,6 +395,7 @@ def _uses(width: int, hot: np.ndarray):
 def _ranges(width: int):
     """Runs of words to remove: doc_id, run (first word << 32 | number of words)."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -406,6 +420,7 @@ def _ranges(width: int):
     return run
 
 
+@trimmed
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, runs) as doc_id, removed (number of words), kept (the other words joined by one space)."""
     for batch in batches:

@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import _LOWER, blocks, words
+from .text import _LOWER, blocks, trim, trimmed, words
 
 FEATURE_BITS = 18
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000  #: at most so many labelled documents of each kind are learnt from
 SAMPLE_BYTES = 1 << 28  #: and, of those in the order of a hash of their texts, at most about so many bytes
 THRESHOLD = 0.7
 STEPS, RATE, L2 = 250, 0.15, 1e-7
+CHUNK = 1 << 19  #: words of a fit that are summed at a time
 L1 = 0.25  #: in labelled documents; choose_penalty() on the training rows of sf0.1 finds it best of PENALTIES
 PENALTIES, FOLDS = (0.125, 0.25, 0.5, 1.0, 2.0, 4.0), 3
 LEAST_TOXIC_DOCS = 3  #: a word met in fewer toxic documents gets no weight
@@ -61,22 +62,32 @@ class Sentences:
 
 
 def fit(sentence: np.ndarray, feature: np.ndarray, doc: np.ndarray, label: np.ndarray, l1: float = L1) -> tuple[np.ndarray, float]:
-    """Weights and bias that make the labels likely. sentence, feature: a row for each word of a sentence; doc: of
+    """Weights and bias that make the labels likely. sentence, feature: a row for each word of a sentence, sentences ascending; doc: of
     each sentence; label: of each document."""
     size, y = 1 << FEATURE_BITS, label.astype(float)
-    toxic_docs = np.unique(doc[sentence][y[doc[sentence]] > 0] << FEATURE_BITS | feature[y[doc[sentence]] > 0]) if len(feature) else np.zeros(0, np.int64)
-    allowed = np.bincount(toxic_docs & (size - 1), minlength=size) >= LEAST_TOXIC_DOCS
-    keep = allowed[feature]
-    names, column = np.unique(feature[keep], return_inverse=True)
-    row = sentence[keep]
+    cuts = np.unique(np.append(np.searchsorted(sentence, sentence[::CHUNK]), len(sentence)))
+    spans = [slice(*x) for x in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]  # whole sentences each
+    toxic_docs = [np.zeros(0, np.int64)]
+    for span in spans:
+        d, f = doc[sentence[span]], feature[span]
+        toxic_docs.append(np.unique(d[y[d] > 0].astype(np.int64) << FEATURE_BITS | f[y[d] > 0]))
+    allowed = np.bincount(np.unique(np.concatenate(toxic_docs)) & (size - 1), minlength=size) >= LEAST_TOXIC_DOCS
+    names, column = np.flatnonzero(allowed), (np.cumsum(allowed) - 1).astype(np.int32)
+    chunks = [(sentence[span][keep], column[feature[span][keep]]) for span in spans if (keep := allowed[feature[span]]).any()]
+    del toxic_docs, allowed
     w, bias = np.zeros(len(names)), -4.0
-    moments = np.zeros((2, len(names) + 1))
+    moments, every = np.zeros((2, len(names) + 1)), np.arange(len(names))
     for step in range(1, STEPS + 1):
-        z = bias + np.bincount(row, w[column], len(doc))
+        z = np.full(len(doc), bias)
+        for r, c in chunks:
+            z[r[0] : r[-1] + 1] += np.bincount(r - r[0], w[c])
         none = np.bincount(doc, np.logaddexp(0, z), len(y))
         p = np.maximum(-np.expm1(-none), 1e-12)
         slope = (1 / (1 + np.exp(-z))) * (1 - y / p)[doc] / max(1, len(y))
-        grad = np.append(np.bincount(column, slope[row], len(names)) + l1 / max(1, len(y)) + L2 * w, slope.sum())
+        total = np.zeros(len(names))
+        for r, c in chunks:  # onto the total, so that the sums are those of one pass
+            total = np.bincount(np.append(every, c), np.append(total, slope[r]))
+        grad = np.append(total + l1 / max(1, len(y)) + L2 * w, slope.sum())
         moments[0] = 0.9 * moments[0] + 0.1 * grad
         moments[1] = 0.99 * moments[1] + 0.01 * grad**2
         move = RATE * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
@@ -99,14 +110,20 @@ def _bags(batches: Iterator[pa.RecordBatch], folds: list | None = None) -> list[
             key = np.unique(s.sentence << FEATURE_BITS | s.features) if len(s.features) else np.zeros(0, np.int64)
             sentence.append(((key >> FEATURE_BITS) + sentences).astype(np.int32))
             feature.append((key & ((1 << FEATURE_BITS) - 1)).astype(np.int32))
-            doc.append(s.doc + docs)
+            doc.append((s.doc + docs).astype(np.int32))
             label.append(y[lo:hi])
             if folds is not None:
                 folds.append(batch.column(2).to_numpy()[lo:hi])
             sentences, docs = sentences + len(s.doc), docs + hi - lo
-    return [np.concatenate(x) for x in (sentence, feature, doc, label)] if docs else []
+    bags = []
+    for x in (sentence, feature, doc, label) if docs else ():
+        bags.append(np.concatenate(x))
+        x.clear()
+    trim()
+    return bags
 
 
+@trimmed
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if bags := _bags(batches):
         weights, bias = fit(*bags)
@@ -177,6 +194,7 @@ def choose_penalty(docs: DataFrame, labels: DataFrame, penalties: tuple[float, .
 
 
 def _score(weights: bytes, bias: float, least: float):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(weights, np.float32)
         for batch in batches:
@@ -207,6 +225,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
 
 
 def _clean(weights: bytes, bias: float, least: float, at: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(weights, np.float32)
         for batch in batches:

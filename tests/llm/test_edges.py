@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scrivener.llm import ann, bpe, fingerprints, licenses, minhash, mixing, sharding, store, substring, toxicity, warc
+from scrivener.llm import ann, bpe, fingerprints, licenses, minhash, mixing, sharding, store, substring, text, toxicity, warc
 
 RNG = random.Random(17)
 CLASH = ("rep", "sign", "n_shingles", "bands", "key", "row", "rows", "rank", "size", "source_size", "target", "cell", "shard", "depth", "digest", "license", "copy", "n_bytes", "next_id", "own_id", "bins", "new", "leaf", "file_", "segments", "runs", "_source", "_i", "slice", "state", "mix_size", "ids", "decoded", "score")
@@ -72,6 +74,67 @@ def test_toxicity_learns_from_bounded_bytes(spark, docs, monkeypatch):
     assert len(label) == 2 and not seen
 
 
+def test_toxicity_fit_in_chunks_is_the_fit_in_one_and_stays_small(monkeypatch):
+    draw = np.random.default_rng(5)
+    n, docs = 1 << 21, 4000
+    sentence = np.sort(draw.integers(0, n // 8, n)).astype(np.int32)
+    feature = draw.integers(0, 3000, n).astype(np.int32)
+    doc, label = np.sort(draw.integers(0, docs, n // 8)).astype(np.int32), (draw.random(docs) < 0.4).astype(np.int32)
+    feature[(label[doc[sentence]] > 0) & (draw.random(n) < 0.02)] = 7
+    monkeypatch.setattr(toxicity, "STEPS", 3)
+    few = slice(0, 30000)
+    whole = toxicity.fit(sentence[few], feature[few], doc, label)
+    monkeypatch.setattr(toxicity, "CHUNK", 64, raising=False)
+    cut = toxicity.fit(sentence[few], feature[few], doc, label)
+    assert (whole[0] == cut[0]).all() and whole[1] == cut[1] and whole[0].any()
+    monkeypatch.undo()
+    monkeypatch.setattr(toxicity, "STEPS", 3)
+    tracemalloc.start()
+    try:
+        toxicity.fit(sentence, feature, doc, label)
+        assert tracemalloc.get_traced_memory()[1] < 28 * n  # bytes a word, beside the arguments
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_give_back_what_they_freed(monkeypatch):
+    seen = []
+    monkeypatch.setattr(text, "trim", lambda: seen.append("trim"))
+
+    def run(batches):
+        for batch in batches:
+            seen.append(batch)
+            yield batch
+
+    assert list(text.trimmed(run)(iter("ab"))) == ["a", "b"] and seen == ["a", "trim", "b", "trim", "trim"]
+    assert text.trimmed(lambda frame: frame + 1)(1) == 2 and len(seen) == 6
+    with pytest.raises(ZeroDivisionError):
+        text.trimmed(lambda frame: frame / 0)(1)
+    assert len(seen) == 7
+
+
+def test_bpe_results_do_not_hold_the_batch():
+    table = pa.table({"doc_id": range(300), "text": [prose(400) for _ in range(300)]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    whole = sink.getvalue()
+    got = list(bpe._encode(bpe.default_vocabulary())(iter(pa.ipc.open_stream(whole))))
+    assert sum(x.num_rows for x in got) == 300
+    ids = got[0].column(0).buffers()[1]
+    assert not whole.address <= ids.address < whole.address + whole.size
+
+
+def test_dealt_entries_are_whole(docs):
+    batch = docs([(i, prose(60)) for i in range(40)] + [(50, "")]).select("doc_id", "text").toArrow().combine_chunks().to_batches()[0]
+    entries = np.sort(substring._entries(batch, 13))
+    (dealt,) = substring._deal(13, 1000)(iter([batch]))
+    dealt.validate(full=True)
+    parts = [np.frombuffer(x, substring._ENTRY) for x in dealt.column(1).to_pylist()]
+    assert all(len(p) and ((p["anchor"] >> np.uint64(20)) % np.uint64(1000) == n).all() for n, p in zip(dealt.column(0).to_pylist(), parts, strict=True))
+    assert (np.sort(np.concatenate(parts)) == entries).all()
+
+
 def test_warc_of_a_very_long_record(spark):
     pages = spark.createDataFrame([(1, "u", "x" * 3_000_000), (2, "u", "é" * 1_000_000), (3, None, None)], "page_id long, url string, html string")
     broken = pages.withColumn("html", F.when(F.col("page_id") == 2, F.concat("html", F.lit("!"))).otherwise(F.col("html")))
