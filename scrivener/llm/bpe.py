@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding by batched merge rounds in numpy, and decoding.
 
-The pieces of a text (by the vocabulary's pattern) repeat, so each worker keeps the ids of pieces it has
-met. Pieces that are new in a block are encoded together: their symbols lie in one flat array; in each
+The pieces of a text (by the vocabulary's pattern) repeat, so each task keeps the ids of pieces it has
+met until it ends. Pieces that are new in a block are encoded together: their symbols lie in one flat array; in each
 round every piece finds its lowest-ranked pair by binary search over the sorted pair keys and merges all
 its occurrences, from left to right.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .text import BLOCK_BYTES, blocks, trim, trimmed
 
-KEPT_PIECES = 400_000  #: pieces a worker keeps; beyond that it starts anew
+KEPT_PIECES = 400_000  #: pieces a task keeps; beyond that it starts anew
 NONE = np.int64(1) << 60
 LONG = 200  #: longer pieces are not kept
 
@@ -114,6 +114,10 @@ class Bpe:
         order = np.argsort(piece, kind="stable")
         return symbol[order].astype("<u4").tobytes(), np.cumsum(np.bincount(piece, minlength=len(pieces))).tolist()
 
+    def forget(self) -> None:
+        """Let go of the pieces met so far; an idle worker would keep them for a minute."""
+        self.known = dict(self.special)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         parts: list[list] = []
@@ -128,7 +132,7 @@ class Bpe:
             own += find(text[at:] if at else text)
             parts.append(own)
         if len(self.known) > KEPT_PIECES:
-            self.known = dict(self.special)
+            self.forget()
         known = self.known
         names = list(set().union(*parts).difference(known))
         if names:
@@ -171,9 +175,12 @@ def _encode(path: str):
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in batches:
-            yield from _coded(bpe, batch)
-            del batch  # before the next one is read
+        try:
+            for batch in batches:
+                yield from _coded(bpe, batch)
+                del batch  # before the next one is read
+        finally:
+            bpe.forget()
 
     return run
 

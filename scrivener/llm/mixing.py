@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut, ranked
+from .store import cut, local, ranked
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix-1"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -46,7 +47,7 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP
     if len(few := sources.limit(FEW_SOURCES + 1).collect()) <= FEW_SOURCES:
         few.sort(key=lambda x: (x.source is None, (x.source or "").encode("utf-8", "surrogatepass")))
         target = water_fill([x.source_size for x in few], [weights[i % len(weights)] for i in range(len(few))], cap)
-        return sources.sparkSession.createDataFrame([(*x, t) for x, t in zip(few, target, strict=True)], "source string, source_size long, target double")
+        return local(sources.sparkSession, source=pa.array([x.source for x in few], pa.string()), source_size=pa.array([x.source_size for x in few], pa.int64()), target=pa.array(target, pa.float64()))
     order = ranked(sources, F.col("source").asc_nulls_last())
     state = order.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")).withColumn("clamped", F.lit(False))
     total = None

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,12 @@ def folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def local(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A small table from the driver. It goes by Arrow: rows in a list would start another Python daemon, with workers of its own, on the
+    executors that read it."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df for operators that read it more than once and rely on equal batches: a scan, with columns and rows chosen, as it is;
     anything else is written first, as a shuffle that runs again may order its rows in another way."""
@@ -111,6 +118,7 @@ def ranked(df: DataFrame, *order: Column, partitions: int | None = None) -> Data
     for i in sorted(sizes):
         before.append((i, total))
         total += sizes[i]
-    offset = spark.createDataFrame(before or [(0, 0)], "_part int, _before long")
+    parts, rows = zip(*before or [(0, 0)], strict=True)
+    offset = local(spark, _part=pa.array(parts, pa.int32()), _before=pa.array(rows, pa.int64()))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return kept.withColumn("_row", rank).join(F.broadcast(offset), "_part").withColumn("rank", F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")

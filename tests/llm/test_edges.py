@@ -125,6 +125,32 @@ def test_bpe_results_do_not_hold_the_batch():
     assert not whole.address <= ids.address < whole.address + whole.size
 
 
+def test_bpe_keeps_no_pieces_after_a_task():
+    path = bpe.default_vocabulary()
+    batch = pa.record_batch({"doc_id": [1, 2], "text": [prose(300), "<|endoftext|> a b"]})
+    first = list(bpe._encode(path)(iter([batch, batch])))
+    kept = bpe.vocabulary(path)
+    assert kept.known == kept.special and all(x.equals(first[0]) for x in first)
+    begun = bpe._encode(path)(iter([batch, batch]))
+    assert next(begun).equals(first[0]) and len(kept.known) > len(kept.special)
+    begun.close()  # a task that is stopped, too
+    assert kept.known == kept.special
+
+
+def test_small_tables_start_no_python_workers(spark, docs):
+    rows = [(1, "a b", "x"), (2, "c", None), (3, "d e f", "y")]
+    table = mixing.targets(docs(rows).groupBy("source").agg(F.sum("n_chars").alias("source_size")))
+    assert table.dtypes == [("source", "string"), ("source_size", "bigint"), ("target", "double")]
+    none = mixing.targets(docs([]).groupBy("source").agg(F.sum("n_chars").alias("source_size")))
+    assert {x.source for x in table.collect()} == {"x", None, "y"} and none.dtypes == table.dtypes and none.count() == 0
+    kept = store.cut(docs(rows))
+    ranks = store.ranked(kept, F.col("doc_id").desc())
+    assert [x.doc_id for x in ranks.orderBy("rank").collect()] == [3, 2, 1] and dict(ranks.dtypes)["rank"] == "bigint"
+    for made in (table, none, ranks, store.ranked(kept.limit(0), F.col("doc_id"))):
+        made.collect()
+        assert "RDD" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_dealt_entries_are_whole(docs):
     batch = docs([(i, prose(60)) for i in range(40)] + [(50, "")]).select("doc_id", "text").toArrow().combine_chunks().to_batches()[0]
     entries = np.sort(substring._entries(batch, 13))
