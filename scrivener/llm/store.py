@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: The tables that cut() has written for the innermost operator that runs: (path, table).
 _TABLES: contextvars.ContextVar[list[tuple[str, DataFrame]] | None] = contextvars.ContextVar("tables", default=None)
 
+#: Spark's setting; it holds for executions that are made while it is on.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def folder(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir. Where that is unset, local mode gets one of its own; a cluster has to name one,
@@ -85,6 +88,23 @@ def scratch(operator: Callable) -> Callable:
     return run
 
 
+def tidy(operator: Callable) -> Callable:
+    """Decorates an operator on a table whose steps all end in cut() or a small result: the shuffle files of each are deleted when it has ended.
+    Otherwise they lie on the executors' disks, beside those of later steps, until the driver happens to collect its garbage."""
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **kw):
+        conf = df.sparkSession.conf
+        before = conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")
+        try:
+            return operator(df, *args, **kw)
+        finally:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+    return run
+
+
 @scratch
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for links (a, b), undirected: component is the smallest node reachable.

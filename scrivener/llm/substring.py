@@ -10,7 +10,8 @@ ends that another segment of the shard holds, too, and of the intervals that rea
 A large group never meets in one task: within a batch an anchor shared by several documents is settled
 there, and only one entry a batch and anchor goes on; equal segments of a batch are one row; the segments of an anchor
 that more than HOT have are cut into single windows, which are dealt by all their words. Shards and parts are made so many that
-each holds a bounded number of bytes.
+each holds a bounded number of bytes. Every step that shuffles words, keys or texts ends in a table, so that the disk holds the shuffle
+files of one step at a time.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, scratch, settled
+from .store import cut, scratch, settled, tidy
 from .text import U64, Words, blocks, mix, trimmed, words
 
 WIDTH, ANCHOR = 13, 5
@@ -441,6 +442,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(removed, pa.int64()), pa.array(left)], names=["doc_id", "removed", "kept"])
 
 
+@tidy
 @scratch
 def repeated(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(facts, removals) for docs (doc_id, text; others are ignored).
@@ -469,9 +471,9 @@ def repeated(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]
     held = cut(named.join(lists, "doc_id").select("doc_id", "text", "segments"))
     n_segments = held.agg(F.sum(F.size("segments"))).first()[0] or 0
     shards = enough(n_segments * 8 * (width + ANCHOR))
-    found = held.mapInArrow(_distinct(width, shards, hot), "shard int, first long, several boolean, words binary").groupBy("shard").applyInPandas(_index(width), "key binary, firsts binary")
+    found = cut(held.mapInArrow(_distinct(width, shards, hot), "shard int, first long, several boolean, words binary").groupBy("shard").applyInPandas(_index(width), "key binary, firsts binary"))
     uses = held.mapInArrow(_uses(width, hot), "key binary, doc_id long, segment long")
-    runs = uses.join(found, "key").select("doc_id", "segment", "firsts").mapInArrow(_ranges(width), "doc_id long, run long").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    runs = cut(uses.join(found.hint("merge"), "key").select("doc_id", "segment", "firsts").mapInArrow(_ranges(width), "doc_id long, run long").groupBy("doc_id").agg(F.collect_list("run").alias("runs")))
     removals = cut(held.select("doc_id", "text").join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(_remove, "doc_id long, removed long, kept string"))
     copy = facts.join(copies, (facts["doc_id"] == copies["doc_id"]) & (facts["whole_sha256"] == copies["_sha"]), "left").select(facts["doc_id"], "n_words", "whole_sha256", F.col("_sha").isNotNull().alias("copy"))
     return copy, removals

@@ -300,6 +300,37 @@ def test_operators_leave_only_their_results(docs, spark):
     assert len(set(os.listdir(here)) - before) == 2 and facts.count() == 22 and removals.count() == 0
 
 
+def test_substring_dedup_holds_the_shuffle_files_of_one_step(docs, spark, monkeypatch):
+    """When a step is written, the files of those before are gone; no step shuffles the index's words beside what is joined later."""
+    import glob
+    import time
+
+    own = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in own for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, left, plans = files(), [], []
+
+    def gone():
+        end = time.time() + 5
+        while (new := files() - before) and time.time() < end:
+            time.sleep(0.05)
+        return new
+
+    def watched(df, cut=substring.cut):
+        left.append(gone())
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(substring, "cut", watched)
+    passage = prose(30)
+    rows = [(i, f"{prose(5)} {passage} {prose(4)}") for i in range(20)]
+    setting = spark.conf.get(name := "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    _, removals = substring.repeated(docs(rows))
+    assert len(left) > 4 and not any(left) and not gone()
+    assert not any("FlatMapGroupsInPandas" in p and "Join" in p for p in plans)
+    assert sorted((x.doc_id, x.removed) for x in removals.collect()) == [(i, 30) for i in range(1, 20)]
+    assert spark.conf.get(name, None) == setting
+
+
 def test_a_cluster_has_to_name_its_shared_folder():
     class Session:
         class conf:  # noqa: N801
