@@ -129,6 +129,112 @@ def substring_costs(ref: str, hyp: str) -> tuple[int, list[int]]:
     return distance, costs
 
 
+#: Cells of the rows of one batch of pairs that are held at a time; longer pairs go one by one.
+BATCH_CELLS = 1 << 20
+
+
+def _batches(pairs: list[tuple[str, str]], whole: bool) -> list[list[int]]:
+    """Positions of pairs of like lengths, so many that their rows (whole: all rows, else the last) hold BATCH_CELLS at most."""
+    size = [(len(r), len(h)) for r, h in pairs]
+    out, rows, wide = [], 0, 0
+    for k in sorted(range(len(pairs)), key=lambda k: (size[k][0].bit_length(), size[k][1])):
+        n, m = size[k]
+        old = size[out[-1][-1]] if out else (0, 0)
+        high = max(rows, n)
+        fits = out and old[0].bit_length() == n.bit_length() and m <= 1.5 * wide + 8 and (len(out[-1]) + 1) * (m + 1) * (high + 1 if whole else 1) <= BATCH_CELLS
+        if fits:
+            out[-1].append(k)
+            rows = high
+        else:
+            out.append([k])
+            rows, wide = n, m
+    return out
+
+
+def _padded(texts: list[str]) -> np.ndarray:
+    m = max(map(len, texts))
+    return _codes("".join(x.ljust(m, "\0") for x in texts)).reshape(len(texts), m)
+
+
+def _next_rows(rows: np.ndarray, symbols: np.ndarray, hyps: np.ndarray, index: np.ndarray, out: np.ndarray) -> None:
+    """_next_row() of many pairs at once. What stands behind a shorter text does not reach the columns before it."""
+    out[:, 0] = rows[:, 0] + 1
+    np.minimum(rows[:, 1:] + 1, rows[:, :-1] + (hyps != symbols[:, None]), out=out[:, 1:])
+    out -= index
+    np.minimum.accumulate(out, axis=1, out=out)
+    out += index
+
+
+def _distinct(refs: Iterable[str | None], hyps: Iterable[str | None]) -> tuple[list[tuple[str, str]], list[int]]:
+    """(distinct pairs, the place of each pair among them)"""
+    seen: dict[tuple[str, str], int] = {}
+    place = [seen.setdefault((r or "", h or ""), len(seen)) for r, h in zip(refs, hyps, strict=True)]
+    return list(seen), place
+
+
+def substring_distances(refs: Iterable[str | None], hyps: Iterable[str | None]) -> list[int]:
+    """substring_distance() of many pairs."""
+    pairs, place = _distinct(refs, hyps)
+    out = [len(r) for r, _ in pairs]
+    todo = [k for k, (r, h) in enumerate(pairs) if r and h]
+    for batch in _batches([pairs[k] for k in todo], False):
+        own = [todo[k] for k in batch]
+        if len(own) < 4:
+            for k in own:
+                out[k] = substring_distance(*pairs[k])
+            continue
+        own.sort(key=lambda k: -len(pairs[k][0]))
+        r, h = _padded([pairs[k][0] for k in own]), _padded([pairs[k][1] for k in own])
+        n, m = np.array([len(pairs[k][0]) for k in own]), np.array([len(pairs[k][1]) for k in own])
+        index = np.arange(h.shape[1] + 1, dtype=np.int32)
+        rows, other, left = np.zeros((len(own), len(index)), np.int32), np.empty((len(own), len(index)), np.int32), len(own)
+        for i in range(r.shape[1]):
+            _next_rows(rows[:left], r[:left, i], h[:left], index, other[:left])
+            rows, other = other, rows
+            rest = int(np.searchsorted(-n[:left], -(i + 1)))  # the first whose reference ends here
+            if rest < left:
+                best = np.where(index <= m[rest:left, None], rows[rest:left], np.iinfo(np.int32).max).min(axis=1)
+                for k, d in zip(own[rest:left], best.tolist(), strict=True):
+                    out[k] = d
+                left = rest
+    return [out[k] for k in place]
+
+
+def substring_costs_many(refs: Iterable[str | None], hyps: Iterable[str | None]) -> list[np.ndarray]:
+    """The edits of substring_costs() of many pairs, charged in the same way."""
+    pairs, place = _distinct(refs, hyps)
+    out = [np.ones(len(r), np.int32) for r, _ in pairs]
+    todo = [k for k, (r, h) in enumerate(pairs) if r and h]
+    for batch in _batches([pairs[k] for k in todo], True):
+        own = [todo[k] for k in batch]
+        if len(own) < 4:
+            for k in own:
+                out[k] = np.array(substring_costs(*pairs[k])[1], np.int32)
+            continue
+        r, h = _padded([pairs[k][0] for k in own]), _padded([pairs[k][1] for k in own])
+        n, m, each = np.array([len(pairs[k][0]) for k in own]), np.array([len(pairs[k][1]) for k in own]), np.arange(len(own))
+        index = np.arange(h.shape[1] + 1, dtype=np.int32)
+        rows = np.zeros((r.shape[1] + 1, len(own), len(index)), np.int32)
+        for i in range(r.shape[1]):
+            _next_rows(rows[i], r[:, i], h, index, rows[i + 1])
+        at = np.where(index <= m[:, None], rows[n, each], np.iinfo(np.int32).max).argmin(axis=1)
+        costs, i = np.zeros(r.shape, np.int32), n.copy()
+        while len(each):
+            here, before = rows[i, each, at], np.maximum(at - 1, 0)
+            inserted = (at > 0) & (here == rows[i, each, before] + 1)
+            differs = (r[each, i - 1] != h[each, before]).astype(np.int32)
+            across = ~inserted & (at > 0) & (here == rows[i - 1, each, before] + differs)
+            costs[each, i - 1] += np.where(across, differs, 1)
+            at = np.where(inserted | across, before, at)
+            i = np.where(inserted, i, i - 1)
+            going = i > 0
+            if not going.all():
+                each, at, i = each[going], at[going], i[going]
+        for k, c, x in zip(own, costs, n.tolist(), strict=True):
+            out[k] = c[:x].copy()
+    return [out[k] for k in place]
+
+
 def error_rate(ref: str, hyp: str) -> float:
     return substring_distance(ref, hyp) / len(ref) if ref else float(bool(hyp))
 
@@ -150,12 +256,12 @@ def normal_udf(text: pd.Series, drop: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.IntegerType())
 def substring_distance_udf(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([substring_distance(r or "", h or "") for r, h in zip(ref, hyp, strict=True)], dtype="int32")
+    return pd.Series(substring_distances(ref, hyp), dtype="int32")
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def substring_costs_udf(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([substring_costs(r or "", h or "")[1] for r, h in zip(ref, hyp, strict=True)], dtype=object)
+    return pd.Series(substring_costs_many(ref, hyp), dtype=object)
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.IntegerType()))

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from scrivener.functions import text
 from scrivener.functions.text import error_rate, find_terms, normal, numeral, substring_costs, substring_distance
 
 
@@ -62,3 +63,24 @@ def test_surplus_at_both_ends_is_free():
     rng = random.Random(1)
     ref = "".join(rng.choice("abcdefgh") for _ in range(50))
     assert substring_distance(ref, "z" * 800 + ref + "z" * 800) == 0
+
+
+def test_many_pairs_at_once_give_what_each_gives(monkeypatch):
+    rng = random.Random(5)
+    word = lambda n, letters="ab你c": "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    pairs = [(word(30), word(50)) for _ in range(700)] + [(word(90, "ab"), word(9, "ab")) for _ in range(60)] + [("", "a"), ("a", ""), (None, "a"), ("a", None), ("ab", "ab"), ("ab", "ab"), ("a" * 900, "ba" * 900)]
+    refs, hyps = zip(*pairs, strict=True)
+    for cells in (text.BATCH_CELLS, 4000):
+        monkeypatch.setattr(text, "BATCH_CELLS", cells)
+        assert text.substring_distances(refs, hyps) == [text.substring_distance(r or "", h or "") for r, h in pairs]
+        assert [x.tolist() for x in text.substring_costs_many(refs, hyps)] == [text.substring_costs(r or "", h or "")[1] for r, h in pairs]
+
+
+def test_many_short_pairs_take_a_fraction_of_the_calls(monkeypatch):
+    calls = []
+    own = text._next_rows
+    monkeypatch.setattr(text, "_next_rows", lambda *a: calls.append(1) or own(*a))
+    monkeypatch.setattr(text, "_next_row", lambda *a: pytest.fail("pairs of like lengths are aligned together"))
+    refs = [f"LARGERING{i:05d}" for i in range(2000)]
+    text.substring_costs_many(refs, [x[1:] + "X" for x in refs])
+    assert len(calls) <= 14 * 40
