@@ -1,8 +1,8 @@
-"""Column expressions that every operator shares: one definition each."""
+"""Column expressions and the join that every operator shares: one definition each."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLOOR_DB, SILENCE_DENSITY = -120.0, 0.15
@@ -61,5 +61,10 @@ def ordered_text(order: list[str], text: str) -> Column:
     return F.array_join(F.transform(rows, lambda x: x["_t"]), "")
 
 
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join that is never broadcast: Spark estimates what is exploded, or cut to a few columns, far too low, and both grow with the input."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))

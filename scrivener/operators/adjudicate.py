@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivener.functions.columns import verdict
+from scrivener.functions.columns import joined, verdict
 from scrivener.functions.text import normalized, rounded
 from scrivener.operators.intervals import BUCKET, _spread
 from scrivener.operators.levels import speech_density
@@ -29,8 +29,8 @@ def merged(spans: DataFrame, occupied: DataFrame, part: list[str], seg: list[str
     # Whatever blocks a run of cues lies in the pause before its next cue or, where there is none, over that cue's start.
     asked = rows.where(F.col("start") - F.col("_mx") <= gap).select(*part, *seg, "ord", "_mx", F.col("start").alias("_at"), F.least("_mx", "start").alias("_q"))
     asked, taken = _spread(asked, "_q", "_at", "qb", bucket), _spread(occupied.select(*part, "lo", "hi"), "lo", "hi", "ob", bucket)
-    blocked = asked.join(taken, [*part, "_b"]).where((F.col("hi") > F.col("_mx")) & (F.col("lo") < F.col("_at"))).select(*part, *seg, "ord").distinct().withColumn("_blocked", F.lit(True))
-    rows = rows.join(blocked, [*part, *seg, "ord"], "left")
+    blocked = joined(asked, taken, [*part, "_b"]).where((F.col("hi") > F.col("_mx")) & (F.col("lo") < F.col("_at"))).select(*part, *seg, "ord").distinct().withColumn("_blocked", F.lit(True))
+    rows = joined(rows, blocked, [*part, *seg, "ord"], "left")
     new = F.col("_mx").isNull() | (F.col("start") - F.col("_mx") > gap) | F.coalesce("_blocked", F.lit(False))
     rows = rows.withColumn("island", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "ord", "text"))), lambda x: x["text"]), "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivener.functions.columns import mean_db, ratio
+from scrivener.functions.columns import joined, mean_db, ratio
 from scrivener.functions.text import rounded
 
 BIN_SEC, WINDOW_SEC, MARGIN_DB, FLOOR_PERCENTILE = 0.25, 60.0, 12.0, 10
@@ -20,7 +20,7 @@ def floors(bins: DataFrame, percentile: float = FLOOR_PERCENTILE) -> DataFrame:
 def windows(bins: DataFrame, floor: DataFrame | None = None, bin_sec: float = BIN_SEC, window_sec: float = WINDOW_SEC, margin_db: float = MARGIN_DB, present: bool = True) -> DataFrame:
     """rec, win_idx, t_start, t_end, rms_db, speech_rms_db, peak_db, speech_frac, dyn_range_db, bins, floor_db. present: rounded for reading."""
     per = max(1, int(round(window_sec / bin_sec)))
-    rows = bins.join(floor if floor is not None else floors(bins), "rec")
+    rows = joined(bins, floor if floor is not None else floors(bins), ["rec"])
     speech = F.col("rms_db") > F.col("floor_db") + margin_db
     out = rows.groupBy("rec", F.floor(F.col("bin_idx") / per).alias("win_idx")).agg(
         mean_db(F.col("rms_db")).alias("rms_db"), F.count("*").alias("bins"), F.count(F.when(speech, 1)).alias("_n"), mean_db(F.when(speech, F.col("rms_db"))).alias("_s"),
@@ -53,6 +53,6 @@ def speech_density(spans: DataFrame, bins: DataFrame, floor: DataFrame, key: lis
     last = F.greatest(first + 1, F.ceil(F.col("end") / bin_sec))
     wide = spans.select("rec", *key, F.explode(F.sequence(first, last - 1)).alias("bin_idx"))
     hot = F.count(F.when(F.col("rms_db") > F.col("floor_db") + margin_db, 1))
-    met = wide.join(bins, ["rec", "bin_idx"]).join(floor, "rec").groupBy("rec", *key).agg(hot.alias("_hot"), F.count("*").alias("n_bins"))
-    out = spans.join(met, ["rec", *key], "left").withColumn("n_bins", F.coalesce("n_bins", F.lit(0).cast("long")))
+    met = joined(joined(wide, bins, ["rec", "bin_idx"]), floor, ["rec"]).groupBy("rec", *key).agg(hot.alias("_hot"), F.count("*").alias("n_bins"))
+    out = joined(spans, met, ["rec", *key], "left").withColumn("n_bins", F.coalesce("n_bins", F.lit(0).cast("long")))
     return out.withColumn("density", F.when(F.col("n_bins") >= MIN_BINS, ratio(F.col("_hot"), F.col("n_bins")))).drop("_hot")

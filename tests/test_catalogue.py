@@ -23,6 +23,13 @@ def test_query_equals_its_sql(spark, name):
     assert rows(a) == rows(b) and len(a)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+@pytest.mark.parametrize("name", ["q_adjudicated", "q_verdict_totals", "q_window_cues", "q_touch_anti", "q_levels"])
+def test_no_join_is_broadcast(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 
