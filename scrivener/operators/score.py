@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivener.functions.columns import ordered_text, overlap, ratio, reference_text
+from scrivener.functions.columns import joined, ordered_text, overlap, ratio, reference_text
 from scrivener.functions.text import error_rate_of, find_terms_udf, marker_hits, normalized, rounded, substring_costs_udf, substring_distance_udf
 from scrivener.operators.intervals import touching, untouched
 
@@ -43,7 +43,7 @@ def retention(lines: DataFrame, cues: DataFrame, by: list[str], hyps: DataFrame
     total = lines.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("lang") == "nan", F.col("t_end") - F.col("t_start"))), F.lit(0.0)).alias("sec"))
     hit = (met(lines, cues) if pairs is None else pairs).where("lang = 'nan'").select(*by, "hyp_id", "ord", "start", "norm").distinct()
     text = hit.groupBy(*by, "hyp_id").agg(ordered_text(["start", "ord"], "norm").alias("text"))
-    rows = total.join(hyps, "set_id").join(text, [*by, "hyp_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = joined(joined(total, hyps, ["set_id"]), text, [*by, "hyp_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("hits", marker_hits(F.col("text"))).withColumn("chars", F.length("text").cast("long"))
     return rows.select(*by, "hyp_id", ratio(F.col("hits") * 10000.0, F.col("chars")).alias("taigi_retention_per10k"), F.col("hits").alias("taigi_hits"), F.col("chars").alias("taigi_hyp_chars"), F.col("sec").alias("_taigi_sec"))
 
@@ -61,11 +61,12 @@ def score(segments: DataFrame, lines: DataFrame, cues: DataFrame, hyps: DataFram
     them."""
     hyps = hyps if hyps is not None else cues.select(*RUN).distinct()
     timed = [c for c in ("asr_sec", "duration_sec") if c in hyps.columns]
+    lines = joined(lines, segments.select("set_id", "seg"), ["set_id", "seg"], "left_semi")
     lines = lines.withColumn("_zh", normalized(reference_text("zh"), drop_fillers)).withColumn("_nat", normalized(reference_text("native"), drop_fillers))
     cues = cues.withColumn("norm", normalized("text", drop_fillers)).withColumn("end_estimated", F.coalesce("end_estimated", F.lit(False)))
-    lines, cues = keep(lines.join(segments.select("set_id", "seg"), ["set_id", "seg"], "left_semi")), keep(cues)
+    lines, cues = keep(lines), keep(cues)
     dur = F.col("t_end") - F.col("t_start")
-    grid = segments.join(hyps.select(*RUN), "set_id")
+    grid = joined(segments, hyps.select(*RUN), ["set_id"])
 
     refs = lines.groupBy("set_id", "seg").agg(
         ordered_text(["t_start", "ord"], "_zh").alias("ref_zh"), ordered_text(["t_start", "ord"], "_nat").alias("ref_nat"), F.count("*").alias("lines"),
@@ -73,7 +74,7 @@ def score(segments: DataFrame, lines: DataFrame, cues: DataFrame, hyps: DataFram
     )
     window = touching(segments.select("set_id", "seg", F.col("t_start").alias("w0"), F.col("t_end").alias("w1")), cues.select(*RUN, "ord", "start", "end", "norm", "end_estimated"), ["set_id"], span=("w0", "w1"))
     pairs = keep(met(lines, cues))
-    window = window.join(pairs.select(*PART, "ord").distinct().withColumn("_met", F.lit(True)), [*PART, "ord"], "left")
+    window = joined(window, pairs.select(*PART, "ord").distinct().withColumn("_met", F.lit(True)), [*PART, "ord"], "left")
     inside = overlap(F.col("start"), F.col("end"), F.col("w0"), F.col("w1"))
     heard = window.groupBy(*PART).agg(
         ordered_text(["start", "ord"], "norm").alias("hyp_txt"), F.count("*").alias("hyp_segments"), F.median(F.when(F.col("end") > F.col("start"), F.col("end") - F.col("start"))).alias("_med_cue"),
@@ -86,7 +87,9 @@ def score(segments: DataFrame, lines: DataFrame, cues: DataFrame, hyps: DataFram
     wanted = (vocab.withColumn("term", normalized("term")) if vocab is not None else terms).groupBy("set_id").agg(F.collect_set("term").alias("vocab"))
     spoken = terms.groupBy("set_id", "seg", "term").agg(F.count("*").alias("r")).groupBy("set_id", "seg").agg(F.map_from_entries(F.collect_list(F.struct("term", "r"))).alias("_spoken"))
     zero = F.lit(0).cast("long")
-    table = grid.join(refs, ["set_id", "seg"], "left").join(spoken, ["set_id", "seg"], "left").join(heard, PART, "left").join(covered, PART, "left").join(wanted, "set_id", "left")
+    table = grid
+    for part, key in ((refs, ["set_id", "seg"]), (spoken, ["set_id", "seg"]), (heard, PART), (covered, PART), (wanted, ["set_id"])):
+        table = joined(table, part, key, "left")
     for c in ("ref_zh", "ref_nat", "hyp_txt"):
         table = table.withColumn(c, F.coalesce(c, F.lit("")))
     for c in ("lines", "hyp_segments"):
@@ -103,7 +106,7 @@ def score(segments: DataFrame, lines: DataFrame, cues: DataFrame, hyps: DataFram
     for c, own in (("tp", lambda x: F.least(r(x), h(x))), ("fp", lambda x: F.greatest(zero, h(x) - r(x))), ("fn", lambda x: F.greatest(zero, r(x) - h(x)))):
         table = table.withColumn(c, F.aggregate(F.transform(either, own), zero, lambda a, x: a + x))
     dialect = retention(lines, cues, ["set_id", "seg"], hyps, pairs)
-    table = table.join(dialect, PART, "left")
+    table = joined(table, dialect, PART, "left")
 
     coarse = (F.coalesce("_med_line", F.lit(0.0)) != 0) & (F.coalesce("_med_cue", F.lit(0.0)) > F.col("_med_line") * COARSE)
     table = table.withColumn("_coarse", F.coalesce(coarse, F.lit(False))).withColumn("judgeable", (F.col("hyp_sec") > 0) & ~F.col("_coarse") & ~F.col("_estimated"))
@@ -125,7 +128,7 @@ def score(segments: DataFrame, lines: DataFrame, cues: DataFrame, hyps: DataFram
     rows = spans.groupBy("set_id", "seg").agg(F.collect_list(F.struct("id", "lang", "spk", "_from", F.length("_zh").alias("ref_len"), dur.alias("sec"))).alias("_lines"))
     charged = lambda x: F.aggregate(F.slice("_costs", (x["_from"] + 1).cast("int"), x["ref_len"]), F.lit(0), lambda a, c: a + c)
     each = F.transform("_lines", lambda x: F.struct(x["id"], x["lang"], x["spk"], x["ref_len"], charged(x).alias("dist"), x["sec"]))
-    per_line = rows.join(table.select(*PART, "_costs"), ["set_id", "seg"]).select(*PART, F.explode(each).alias("x")).select(*PART, "x.id", "x.lang", "x.spk", "x.ref_len", "x.dist", rounded(F.col("x.sec"), 2).alias("sec"))
+    per_line = joined(rows, table.select(*PART, "_costs"), ["set_id", "seg"]).select(*PART, F.explode(each).alias("x")).select(*PART, "x.id", "x.lang", "x.spk", "x.ref_len", "x.dist", rounded(F.col("x.sec"), 2).alias("sec"))
 
     judged = F.col("judgeable")
     total = table.groupBy(*RUN).agg(
@@ -134,7 +137,7 @@ def score(segments: DataFrame, lines: DataFrame, cues: DataFrame, hyps: DataFram
         F.sum("cov_sec").alias("cov"), F.sum("gold_sec").alias("golden_sec"), F.sum(F.when(judged, F.col("hyp_sec"))).alias("h"), F.sum(F.when(judged, F.col("halluc_sec"))).alias("x"), F.sum(judged.cast("long")).alias("hallucination_judged_segments"), F.count("*").alias("hallucination_total_segments"), F.bool_or("has_native").alias("nat"),
     )
     length_all = cues.groupBy(*RUN).agg(F.median(F.col("end") - F.col("start")).alias("_med"))
-    total = total.join(length_all, RUN, "left").join(retention(lines, cues, ["set_id"], hyps, pairs), RUN, "left").join(hyps.select(*RUN, *timed), RUN)
+    total = joined(joined(joined(total, length_all, RUN, "left"), retention(lines, cues, ["set_id"], hyps, pairs), RUN, "left"), hyps.select(*RUN, *timed), RUN)
     cer_all, cer_nat_all = F.coalesce(ratio(F.col("dist"), F.col("ref_chars")), F.lit(0.0)), F.coalesce(ratio(F.col("dist_nat"), F.col("nat_chars")), F.lit(0.0))
     overall = total.select(
         *RUN, cer_all.alias("cer_content"), ratio(F.col("hyp_chars"), F.col("ref_chars")).alias("verbosity"), "ref_chars", "hyp_chars", "ref_empty_segments", F.when(F.col("nat"), cer_nat_all).alias("cer_native"), F.when(F.col("nat"), cer_nat_all - cer_all).alias("taigi_flatten_gap"),
@@ -142,7 +145,7 @@ def score(segments: DataFrame, lines: DataFrame, cues: DataFrame, hyps: DataFram
         rounded(F.coalesce("_med", F.lit(0.0)), 1).alias("hyp_median_cue_sec"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("model_precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("model_recall"), "golden_sec",
         *([ratio(F.col("asr_sec"), F.col("duration_sec")).alias("rtf")] if len(timed) == 2 else []),
     )
-    sets = hyps.select("set_id").distinct().join(wanted, "set_id", "left").select("set_id", F.lit(drop_fillers).alias("drop_fillers"), F.when(F.col("vocab").isNull(), 0).otherwise(F.size("vocab")).cast("long").alias("vocab_size"))
+    sets = joined(hyps.select("set_id").distinct(), wanted, ["set_id"], "left").select("set_id", F.lit(drop_fillers).alias("drop_fillers"), F.when(F.col("vocab").isNull(), 0).otherwise(F.size("vocab")).cast("long").alias("vocab_size"))
     return Report(overall, by_segment, per_line, sets)
 
 
@@ -150,6 +153,6 @@ def report_json(report: Report) -> DataFrame:
     """The nested view: one JSON document per hypothesis."""
     nest = lambda df, name: df.groupBy(*RUN).agg(F.collect_list(F.struct(*[c for c in df.columns if c not in RUN])).alias(name))
     overall = report.overall.select(*RUN, F.struct(*[c for c in report.overall.columns if c not in RUN]).alias("overall"))
-    rows = overall.join(nest(report.by_segment, "by_segment"), RUN, "left").join(nest(report.per_line, "per_line"), RUN, "left")
-    rows = rows.join(report.sets, "set_id")
+    rows = joined(joined(overall, nest(report.by_segment, "by_segment"), RUN, "left"), nest(report.per_line, "per_line"), RUN, "left")
+    rows = joined(rows, report.sets, ["set_id"])
     return rows.select(*RUN, F.to_json(F.struct("set_id", "drop_fillers", "vocab_size", "overall", "by_segment", "per_line"), {"ignoreNullFields": "false"}).alias("report"))

@@ -24,7 +24,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
-@pytest.mark.parametrize("name", ["q_adjudicated", "q_verdict_totals", "q_window_cues", "q_touch_anti", "q_levels"])
+@pytest.mark.parametrize("name", ["q_adjudicated", "q_verdict_totals", "q_hallucination", "q_per_line", "q_report_json", "q_real_time_factor", "q_native", "q_coverage", "q_model_counts", "q_overall", "q_by_segment", "q_by_segment_without_fillers", "q_window_cues", "q_touch_anti", "q_levels"])
 def test_no_join_is_broadcast(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
