@@ -251,7 +251,9 @@ def find_terms(text: str, terms: Iterable[str]) -> dict[str, int]:
 
 @F.pandas_udf(T.StringType())
 def normal_udf(text: pd.Series, drop: pd.Series) -> pd.Series:
-    return pd.Series([normal(t, bool(d)) for t, d in zip(text, drop, strict=True)], dtype=object)
+    asked = list(zip(text, drop, strict=True))
+    seen = {x: normal(x[0], bool(x[1])) for x in set(asked)}
+    return pd.Series([seen[x] for x in asked], dtype=object)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -271,7 +273,7 @@ def find_terms_udf(text: pd.Series, terms: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def rounded_udf(x: pd.Series, digits: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(v) else round(float(v), int(d)) for v, d in zip(x, digits, strict=True)], dtype="float64")
+    return pd.Series([None if v is None or v != v else round(float(v), int(d)) for v, d in zip(x, digits, strict=True)], dtype="float64")
 
 
 def normalized(text: Column | str, drop_fillers: bool = False) -> Column:

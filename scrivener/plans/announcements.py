@@ -32,6 +32,7 @@ def han(n: Column) -> Column:
 
 def sets(spark: SparkSession, sf_dir: str) -> Sets:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("n"), F.col("p_brand").alias("b"), F.col("p_type").alias("t"), F.col("p_size").alias("z"))
+    part = part.repartition("k")  # a small file is read in few tasks, and each part has twenty texts and seven alignments
     none, every = F.lit(None).cast("string"), lambda m, r=0: F.col("k") % m == r
     line = lambda seg, i, a, spk, lang, zh, native, models: F.struct(F.lit(seg).alias("seg"), F.lit(f"L{i}").alias("id"), F.lit(i).alias("ord"), F.lit(a).alias("t_start"), F.lit(a + 6).alias("t_end"), F.lit(spk).alias("spk"), lang.alias("lang"), zh.alias("zh"), native.alias("native"), models.alias("models"))
     own = F.array(

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,3 +85,10 @@ def test_many_short_pairs_take_a_fraction_of_the_calls(monkeypatch):
     refs = [f"LARGERING{i:05d}" for i in range(2000)]
     text.substring_costs_many(refs, [x[1:] + "X" for x in refs])
     assert len(calls) <= 14 * 40
+
+
+def test_equal_texts_of_a_batch_are_normalised_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(text, "normal", lambda t, drop: calls.append(t) or normal(t, drop))
+    out = text.normal_udf.func(pd.Series(["a 一", "a 一", None, "b"]), pd.Series([False] * 4))
+    assert out.tolist() == ["A1", "A1", "", "B"] and len(calls) == 3
